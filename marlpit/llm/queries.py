@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
     "op6_shard_pack": sharding.op6_shard_pack,
 }
 ORACLE_SQL: dict[str, str] = {}
