@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, sharding, simhash
+from . import embeddings, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
     "op6_shard_pack": sharding.op6_shard_pack,
     "op9_embedding_near_dup": embeddings.op9_embedding_near_dup,
+    "op10_language_id": langid.op10_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
