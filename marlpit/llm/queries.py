@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, sharding, simhash
+from . import embeddings, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_shard_pack": sharding.op6_shard_pack,
     "op9_embedding_near_dup": embeddings.op9_embedding_near_dup,
     "op10_language_id": langid.op10_language_id,
