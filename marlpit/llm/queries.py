@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, mixing, sharding, simhash, toxicity
+from . import decontam, embeddings, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_decontaminate": decontam.op1_decontaminate,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
     "op5_toxicity": toxicity.op5_toxicity,
