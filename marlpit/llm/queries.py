@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, mixing, sharding, simhash, toxicity
+from . import decontam, embeddings, langid, linededup, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_shard_pack": sharding.op6_shard_pack,
