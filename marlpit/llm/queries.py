@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, linededup, mixing, sharding, simhash, toxicity
+from . import decontam, embeddings, langid, linededup, mixing, passages, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_near_dup": simhash.op4_simhash_near_dup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_shard_pack": sharding.op6_shard_pack,
+    "op7_substring_dedup": passages.op7_substring_dedup,
     "op9_embedding_near_dup": embeddings.op9_embedding_near_dup,
     "op10_language_id": langid.op10_language_id,
 }
