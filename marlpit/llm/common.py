@@ -46,6 +46,17 @@ def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return out
 
 
+def bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
+    """Like :func:`materialise`, but hash-bucketed by ``key``: a later join on it moves only the other side."""
+    spark = df.sparkSession
+    name = f"{tag}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/marlpit/{name}"
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._marlpit_path = path
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the scratch files behind frames made by :func:`materialise` that no later plan reads."""
     for df in frames:
@@ -57,6 +68,11 @@ def discard(*frames: DataFrame) -> None:
                 hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, a narrow frame, marked for broadcast if it has at most ``most_rows`` rows; else left to a shuffle join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 

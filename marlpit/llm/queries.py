@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, linededup, mixing, passages, sharding, simhash, toxicity
+from . import decontam, embeddings, langid, linededup, lm, mixing, passages, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_shard_pack": sharding.op6_shard_pack,
     "op7_substring_dedup": passages.op7_substring_dedup,
+    "op8_lm_score": lm.op8_lm_score,
     "op9_embedding_near_dup": embeddings.op9_embedding_near_dup,
     "op10_language_id": langid.op10_language_id,
 }
