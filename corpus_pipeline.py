@@ -1,21 +1,51 @@
-"""The corpus pipeline: STAGES applied in turn to ``documents``, each on what its predecessor kept."""
+"""The corpus pipeline: STAGES applied in turn to ``documents``, each on what its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs.  All but the last return the columns of documents; the last adds ``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlpit.llm import common, mixing, sharding
+from marlpit.llm import common, decontam, mixing, sharding, simhash, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.7 or more go."""
+    model = toxicity.train(toxicity.labelled_rows(docs, common.table(spark, sf_dir, "labels")))
+    return toxicity.reject(docs, model)
+
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_one(docs)
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the mix of sources takes them whole."""
     return mixing.mixed_documents(docs)
 
 
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its shard and its slot there."""
     return sharding.sharded_documents(docs)
 
 
-STAGES = [("mix", mix), ("shard", shards)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", assign_shards),
+]
+
+#: Fingerprints, the toxicity model and the mix aren't expressible in SQL; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 

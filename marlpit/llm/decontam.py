@@ -215,15 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: fl
     The benchmark is cut into blocks of at most ``block_chars`` characters, each of which one scan of the documents
     compares: what a task holds is bounded whatever the benchmark's size.
     """
-    spark = docs.sparkSession
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(size) // block_chars))
     out = None
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64(F.lit(11), "item_id", "text"), F.lit(n)) == k).collect()
-        rows = sorted((r.item_id, r.text) for r in part if len(normal(r.text)) >= 2 * q)
-        held = spark.sparkContext.broadcast(Items.of(rows, q, rate, window))
+    for held in blocks(benchmark, q, rate, window, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = held.value
@@ -237,11 +230,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: fl
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; rows with null doc_id are judged like others."""
-    spark = docs.sparkSession
-    bad = common.materialise(contaminated(docs, benchmark, **settings).select("doc_id").distinct(), "leaks")
-    return docs.join(bad.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+def blocks(benchmark: DataFrame, q: int, rate: float, window: int, block_chars: int) -> Iterator:
+    """Broadcasts of the benchmark's items, each of about ``block_chars`` characters at most; one at least, maybe empty."""
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-int(size) // block_chars))
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64(F.lit(11), "item_id", "text"), F.lit(n)) == k).collect()
+        rows = sorted((r.item_id, r.text) for r in part if len(normal(r.text)) >= 2 * q)
+        yield benchmark.sparkSession.sparkContext.broadcast(Items.of(rows, q, rate, window))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.06, window: int = 100, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage (see :func:`contaminated`), all columns unchanged."""
+    at = docs.columns.index("text")
+    for held in blocks(benchmark, q, rate, window, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([not passages(held.value, t.as_py(), q, rate, window) for t in b.column(at)], type=pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,7 +132,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
     line = per_block.groupBy("sk").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "pre", "whole", "part", "shards"))), lambda x: x.dropFields("b")).alias("line"), F.sum("take").alias("all"))
 
     # Runs: bounded stretches of a source's random order; each gets only the blocks that it crosses.
-    rows = rows.join(runs_of, "sk").withColumn("run", F.pmod("h", F.col("n_runs"))).drop("n_runs")
+    rows = rows.join(common.small(runs_of), "sk").withColumn("run", F.pmod("h", F.col("n_runs"))).drop("n_runs")
     run = rows.groupBy("sk", "run").agg(F.sum("size").alias("rw"))
     run = run.withColumn("at", F.coalesce(F.sum("rw").over(W.partitionBy("sk").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     run = run.join(plan.select("sk", "source_size", "target", "bw"), "sk").join(line, "sk", "left")
@@ -165,9 +165,10 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Rows that agree in doc_id and text stand for each other, so their copies are added and shared evenly among them, rounded up.
     """
-    plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc2")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
     keyed = docs.withColumn("_crc", F.crc32(F.encode("text", "UTF-8")))
-    j = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_crc").eqNullSafe(plan["_crc"]))
+    plan = common.small(common.materialise(plan, "mix-copies"))
+    j = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_crc").eqNullSafe(F.col("_crc2")))
     times = F.ceil(F.col("_copies") / F.col("_n")).cast("int")
     return j.where(times > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_again")).drop("_again")
 

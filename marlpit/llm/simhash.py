@@ -237,10 +237,18 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4) -> Da
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays (rows that repeat it go)."""
-    kept = near_duplicates(docs, **settings).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    names = docs.columns
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns.
+
+    Rows that repeat a kept doc_id go too.  Rows with a null doc_id stay, as they can't be told apart.
+    """
+    judged = common.materialise(near_duplicates(docs, **settings).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")), "simhash-judged")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(common.small(gone), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    if not judged.where("rows > 1 and stays").limit(1).count():
+        return kept
+    again = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("_id"))), kept["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    alone = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("_id"))), kept["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    return alone.unionByName(again.dropDuplicates(["doc_id"]))
 
 
 def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
