@@ -34,7 +34,7 @@ def rating_or_null(value: Column) -> Column:
 
 
 def _clamped(x: Column) -> Column:
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.floor(x + 0.5))).cast("int")
+    return F.when(x.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), F.floor(x + 0.5)))).cast("int")
 
 
 def score100(text: Column) -> Column:

@@ -373,10 +373,10 @@ def imdb_format(spark, d):
     return p.withColumn("imdb", R.imdb_format(F.col("num")))
 
 
-@query("SELECT p_partkey AS id, CAST(least(100, greatest(0, floor(p_retailprice / 10 + 0.5))) AS INTEGER) AS score, CAST(least(100, greatest(0, floor((p_size / 4.0) * 10 + 0.5))) AS INTEGER) AS rating, CASE WHEN p_size * 3 <= 100 THEN CAST(p_size * 3 AS INTEGER) END AS byte FROM part")
+@query("SELECT p_partkey AS id, CAST(least(100, greatest(0, floor(p_retailprice / 10 + 0.5))) AS INTEGER) AS score, CAST(least(100, greatest(0, floor((p_size / 4.0) * 10 + 0.5))) AS INTEGER) AS rating, CASE WHEN p_size * 3 <= 100 THEN CAST(p_size * 3 AS INTEGER) ELSE -1 END AS byte FROM part")
 def rating_norm(spark, d):
     p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("id"), R.score100(F.concat((F.col("p_retailprice") / 10).cast("string"), F.lit("%"))).alias("score"), R.imdb100((F.col("p_size") / 4).cast("string")).alias("rating"), R.rating_or_null(F.col("p_size") * 3).alias("byte"))
+    return p.select(F.col("p_partkey").alias("id"), R.score100(F.concat((F.col("p_retailprice") / 10).cast("string"), F.lit("%"))).alias("score"), R.imdb100((F.col("p_size") / 4).cast("string")).alias("rating"), F.coalesce(R.rating_or_null(F.col("p_size") * 3), F.lit(-1)).alias("byte"))
 
 
 @query("""SELECT event_id, CAST(value AS VARCHAR) AS rating, 'A=' || (event_id % 90) || '%;B=' || (event_id % 100) || '/100' AS ratings FROM events""")
@@ -413,10 +413,10 @@ def page_links(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.replace(F.replace(url, F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29")).alias("escaped"), R.page_title(url).alias("title"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 1000 END AS qid FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 1000 ELSE -1 END AS qid FROM nation")
 def entity_number(spark, d):
     uri = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("http://e/Q"), (F.col("n_nationkey").cast("long") * 1000).cast("string"))).otherwise(F.lit("http://e/Q99999999999"))
-    return table(spark, d, "nation").select("n_nationkey", R.entity_number(uri).alias("qid"))
+    return table(spark, d, "nation").select("n_nationkey", F.coalesce(R.entity_number(uri), F.lit(-1)).alias("qid"))
 
 
 @query()
@@ -488,10 +488,10 @@ FOLDED = f"""{DAILY}, st AS (SELECT lang, title, CAST(title AS BIGINT) + CASE WH
   f AS (SELECT sm.lang, sm.title, CAST(sm.title AS BIGINT) AS id, st.id AS old, CASE WHEN coalesce(st.popularity, 0) <= 0 THEN CAST(sm.views AS DOUBLE) ELSE (1 - pow(0.5, 3.0 / 14)) * sm.views + (1 - (1 - pow(0.5, 3.0 / 14))) * st.popularity END AS pop, st.popularity AS oldpop FROM sm LEFT JOIN st USING (lang, title))"""
 
 
-@query(f"""WITH {FOLDED} SELECT lang, title, id, round(pop, 6) AS popularity, CASE WHEN old <> id THEN old END AS prev_id, CASE WHEN old IS NULL OR old <> id OR floor(log2(oldpop + 1)) <> floor(log2(pop + 1)) THEN '{DAY2}' ELSE '{DAY1}' END AS changed_on FROM f""")
+@query(f"""WITH {FOLDED} SELECT lang, title, id, round(pop, 6) AS popularity, CASE WHEN old <> id THEN old ELSE -1 END AS prev_id, CASE WHEN old IS NULL OR old <> id OR floor(log2(oldpop + 1)) <> floor(log2(pop + 1)) THEN '{DAY2}' ELSE '{DAY1}' END AS changed_on FROM f""")
 def changed_rows(spark, d):
     store, sample, keys = two_days(spark, d)
-    return wiki.fold_day(store, sample, keys, DAY2, DAY1)[0].select("lang", "title", "id", F.round("popularity", 6).alias("popularity"), "prev_id", "changed_on")
+    return wiki.fold_day(store, sample, keys, DAY2, DAY1)[0].select("lang", "title", "id", F.round("popularity", 6).alias("popularity"), F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), "changed_on")
 
 
 @query(f"WITH {FOLDED} SELECT lang, title, id FROM st WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.lang = st.lang AND sm.title = st.title)")
@@ -615,11 +615,11 @@ NOW_MS = 1_100_000_000_000
 
 @query(
     f"""WITH {CAT}, q AS (SELECT *, ratings_at IS NULL AS fresh, CASE WHEN year >= 2022 - 2 THEN 10.0 ELSE 40.0 END * 86400000 AS win FROM cat)
-    SELECT media_type, id, vote_count, ratings_at FROM q WHERE ({BAND} OR year >= 2021) AND trim(imdb_id) <> '' AND (fresh OR ((rt_score IS NOT NULL OR metacritic_score IS NOT NULL OR year >= 2021) AND {NOW_MS} - ratings_at > win))
-    ORDER BY fresh DESC, CASE WHEN fresh THEN vote_count END DESC NULLS LAST, ratings_at, media_type, id LIMIT 200"""
+    SELECT media_type, id, vote_count, CAST(coalesce(ratings_at, 0) AS BIGINT) AS ratings_at FROM q WHERE ({BAND} OR year >= 2021) AND trim(imdb_id) <> '' AND (fresh OR ((rt_score IS NOT NULL OR metacritic_score IS NOT NULL OR year >= 2021) AND {NOW_MS} - ratings_at > win))
+    ORDER BY fresh DESC, CASE WHEN fresh THEN vote_count END DESC NULLS LAST, q.ratings_at, media_type, id LIMIT 200"""
 )
 def rating_queue(spark, d):
-    return catalog.rating_queue(catalogue(spark, d), NOW_MS, 2022, 40, top=200).select("media_type", "id", "vote_count", "ratings_at")
+    return catalog.rating_queue(catalogue(spark, d), NOW_MS, 2022, 40, top=200).select("media_type", "id", "vote_count", F.coalesce("ratings_at", F.lit(0)).alias("ratings_at"))
 
 
 @query(f"WITH {CAT} SELECT media_type, id, CAST((id * 7) % 101 AS INTEGER) AS imdb_rating FROM cat WHERE imdb_id <> '' AND id % 2 = 0 AND imdb_rating IS DISTINCT FROM (id * 7) % 101")
