@@ -152,8 +152,9 @@ def score(docs: DataFrame, learn: Column, *, most_tokens: int = 1_000_000, bucke
                 names=["chunk", "ids", "train", "sizes", "at", "words"],
             )
 
-    # Bucketed by chunk, so that answers come to the tokens and tokens are never shuffled.
-    tok = common.bucketed(src.mapInArrow(remember, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, at binary, words binary"), "lm_tok", buckets, "chunk")
+    # Bucketed by chunk, so that answers come to the tokens and tokens are never shuffled (fewer buckets than shuffle
+    # partitions and Spark would move both sides).
+    tok = common.bucketed(src.mapInArrow(remember, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, at binary, words binary"), "lm_tok", max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
