@@ -127,7 +127,7 @@ def learn_weights(hist: np.ndarray, uniform: float, rounds: int = 60) -> np.ndar
     return np.stack([em(c) if c.sum() >= 50 else every for c in hist])
 
 
-def score(docs: DataFrame, learn: Column, *, most_tokens: int = 1_000_000, bucket_tokens: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, learn: Column, *, most_tokens: int = 1_000_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``.
 
     Null text is empty; an empty text has one token, its end.  ``learn`` is a condition on rows of ``docs`` (null: no).
