@@ -49,6 +49,7 @@ def minimisers(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     first[1:] = low[1:] != low[:-1]
     run = np.arange(len(low)) - np.maximum.accumulate(np.where(first, np.arange(len(low)), 0))
     first |= run % w == 0  # a long stretch of one k-mer gives a seed every window
+    first[-1] = True
     place = np.zeros(0, dtype=np.int64)
     at = np.flatnonzero(first)
     if len(at):
