@@ -100,7 +100,7 @@ def training_sample(docs: DataFrame, per_lang: int, seed: int = 101) -> list:
     counts = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = spark.createDataFrame([(r.lang, min(1.0, per_lang / r.n)) for r in counts], "_l string, _share double")
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return docs.join(share, F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("doc_id", "lang", "text").collect()
+    return docs.join(F.broadcast(share), F.col("lang") == F.col("_l")).where(u < F.col("_share")).select("doc_id", "lang", "text").collect()
 
 
 def identify(docs: DataFrame, *, learn: DataFrame | None = None, per_lang: int = 600, landmarks: int = 512) -> DataFrame:
