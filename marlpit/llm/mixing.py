@@ -83,7 +83,7 @@ def splitting_tree(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.posexplode("q").alias("idx", "n"))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, blocks_per_source: int = 1024, rows_per_run: int = 20_000, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, blocks_per_source: int = 1024, rows_per_run: int = 2_000, seed: int = 20) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: what the mix takes of it.
 
     Columns: doc_id, source, size (words), source_size, target, taken (words, repeats counted), copies (whole copies
