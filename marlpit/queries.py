@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .functions import links
 from .functions import records as R
 from .functions.text import all_terms_match, fnv31, fold_text, is_subsequence, starts_capitalised, tokenize
 from .operators import catalog, versions, wiki
@@ -699,3 +700,70 @@ def latency_pctl(spark, d):
 @query("SELECT event_type AS kind, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 def outcome_counters(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), F.when(F.col("value") >= 50, "high").otherwise("low").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+# --- projections and predicates at the edges ---
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 5 = 1 THEN 403 WHEN page_id % 5 = 2 THEN 400 ELSE 200 END AS status FROM pages")
+def image_allow_list(spark, d):
+    p = F.col("page_id")
+    source = F.when(p % 5 == 1, F.lit("https://other.example/t/p/w185/a.jpg")).when(p % 5 == 2, F.lit("https://image.tmdb.org/t/p/w185/x/a.jpg")).otherwise(F.concat(F.lit("https://image.tmdb.org/t/p/w185/a"), p.cast("string"), F.lit(".webp")))
+    url = F.concat(F.when(p % 5 == 0, F.lit("https://h.example/v2/poster?url=")).otherwise(F.lit("https://h.example/v1/poster?url=")), source, F.when(p % 2 == 0, F.lit("&size=portrait")).otherwise(F.lit("")))
+    return table(spark, d, "pages").select("page_id", links.thumbnail_request(url)["status"].alias("status"))
+
+
+@query(f"""WITH {CAT} SELECT stable_key, CASE WHEN media_type = 'tv' THEN 'TV series' ELSE 'Movie' END || ' · ' || year || ' · Original title: ' || original_title || CASE WHEN rt_score IS NOT NULL THEN ' · ' || CASE WHEN rt_score >= 60 THEN '🍅 ' ELSE '💥 ' END || rt_score || '% Rotten Tomatoes' ELSE '' END AS description,
+  CASE WHEN media_type = 'tv' THEN 'TV series' ELSE 'Movie' END || '|catalogue|' || original_title AS keywords, coalesce(rt_score / 10.0, -1) AS rating, 'https://x.example/' || CASE WHEN media_type = 'tv' THEN 'tv_show/' ELSE 'movie/' END || id AS url FROM cat""")
+def item_attributes(spark, d):
+    rows = catalogue(spark, d).withColumn("stable_key", R.stable_key(F.col("media_type"), F.col("id")))
+    items = links.search_items(rows, "https://x.example/")
+    return items.select("stable_key", "description", F.array_join("keywords", "|").alias("keywords"), F.coalesce("rating", F.lit(-1.0)).alias("rating"), "url")
+
+
+@query("SELECT r_regionkey AS qid, CASE WHEN r_regionkey % 2 = 0 THEN 'page:en:' || r_regionkey ELSE 'search:' || r_name END AS id, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE 'Search online for \"' || r_name || '\"' END AS title FROM region")
+def fallback_row(spark, d):
+    r = table(spark, d, "region")
+    merged = r.where("r_regionkey % 2 = 0").select(F.col("r_regionkey").alias("qid"), F.lit("en").alias("lang"), F.col("r_regionkey").alias("stable_key"), F.col("r_name").alias("title"), F.lit("English").alias("subtitle"), F.array(F.lit("open:en")).alias("actions"))
+    return links.with_fallback(merged, r.select(F.col("r_regionkey").alias("qid"), F.col("r_name").alias("query")), {"en": "English"}).select("qid", "id", "title")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d-%H0000') AS hour, strftime(o_orderdate, '%m_%d_%Y') AS export FROM orders")
+def date_stamps(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", links.pageview_stamp(F.col("o_orderdate")).alias("hour"), links.export_stamp(F.col("o_orderdate")).alias("export"))
+
+
+@query("SELECT doc_id, sha256(to_base64(encode(text))) AS b64, text = decode(from_base64(to_base64(encode(text)))) AS same FROM documents")
+def text_codecs(spark, d):
+    raw = F.encode("text", "UTF-8")
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.regexp_replace(F.base64(raw), r"\s", ""), 256).alias("b64"), (F.decode(F.unbase64(F.base64(raw)), "UTF-8") == F.col("text")).alias("same"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 > 0 AND 500000 - (o_orderkey % 1000) * 1000 <= 300000 AND o_orderkey % 3 > 0 AS fresh FROM orders")
+def install_fresh(spark, d):
+    k = F.col("o_orderkey")
+    at = F.when(k % 4 > 0, (k % 1000) * 1000 + 1).otherwise(F.lit(0))
+    return table(spark, d, "orders").select("o_orderkey", versions.install_is_fresh(at, F.lit(500_001), F.lit(300_000), k % 3 > 0).alias("fresh"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS title, CAST(1990 + s_nationkey AS INTEGER) AS year, greatest(s_acctbal, 0.0) AS popularity, CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey ELSE 0 END AS BIGINT) AS vote_count FROM supplier")
+def api_projection(spark, d):
+    k = F.col("s_suppkey")
+    none = F.lit(None).cast("string")
+    p = table(spark, d, "supplier").select(
+        F.lit("tv").alias("media_type"), k.alias("id"), F.when(k % 2 == 0, F.col("s_name")).alias("title"), F.col("s_name").alias("name"), none.alias("original_title"), none.alias("original_name"), none.alias("release_date"), F.concat((F.lit(1990) + F.col("s_nationkey")).cast("string"), F.lit("-05-01")).alias("first_air_date"),
+        F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("popularity"), F.when(k % 2 == 0, F.col("s_nationkey")).alias("vote_count"), none.alias("poster_path"), none.alias("imdb_id"),
+    )
+    return catalog.api_record(p).select("id", "title", "year", "popularity", "vote_count")
+
+
+@query(f"WITH {CAT} SELECT stable_key FROM cat ORDER BY vote_count DESC, popularity DESC, title, stable_key LIMIT 100")
+def top_by_votes(spark, d):
+    rows = catalogue(spark, d).withColumn("stable_key", R.stable_key(F.col("media_type"), F.col("id")))
+    return versions.top_by_votes(rows, 100).select("stable_key")
+
+
+@query("SELECT strftime(ts, '%H') AS hour_file, count(*) AS sampled, count(*) FILTER (WHERE event_type = 'error') AS excluded FROM events GROUP BY 1")
+def hourly_counters(spark, d):
+    v = table(spark, d, "events").select(F.date_format("ts", "HH").alias("hour_file"), "event_type")
+    return wiki.hourly_counters(v, v.where("event_type <> 'error'"))
