@@ -165,12 +165,12 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
     Rows that agree in doc_id and text stand for each other, so their copies are added and shared evenly among them, rounded up.
     """
-    plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc2")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    keyed = docs.withColumn("_crc", F.crc32(F.encode("text", "UTF-8")))
+    plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("__mixing_id"), F.col("crc").alias("__mixing_crc2")).agg(F.sum("copies").alias("__mixing_copies"), F.count("*").alias("__mixing_n"))
+    keyed = docs.withColumn("__mixing_crc", F.crc32(F.encode("text", "UTF-8")))
     plan = common.small(common.materialise(plan, "mix-copies"))
-    j = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_crc").eqNullSafe(F.col("_crc2")))
-    times = F.ceil(F.col("_copies") / F.col("_n")).cast("int")
-    return j.where(times > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_again")).drop("_again")
+    j = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__mixing_id")) & F.col("__mixing_crc").eqNullSafe(F.col("__mixing_crc2")))
+    times = F.ceil(F.col("__mixing_copies") / F.col("__mixing_n")).cast("int")
+    return j.where(times > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__mixing_again")).drop("__mixing_again")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

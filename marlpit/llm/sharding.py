@@ -109,13 +109,13 @@ def sharded_documents(docs: DataFrame, shards: int = 40, **settings) -> DataFram
 
     Rows that agree in doc_id and text are interchangeable: their slots are dealt out among them.
     """
-    where = shard(docs, shards, **settings).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    slots = where.groupBy("_id", "_crc").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_at"))
-    keyed = docs.drop("shard", "slot").withColumn("_crc", F.crc32(F.encode("text", "UTF-8")))
+    where = shard(docs, shards, **settings).select(F.col("doc_id").alias("__sharding_id"), F.col("text_crc32").alias("__sharding_crc"), "shard", "slot")
+    slots = where.groupBy("__sharding_id", "__sharding_crc").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("__sharding_at"))
+    keyed = docs.drop("shard", "slot").withColumn("__sharding_crc", F.crc32(F.encode("text", "UTF-8")))
     names = [c for c in docs.columns if c not in ("shard", "slot")]
-    j = keyed.join(slots, keyed["doc_id"].eqNullSafe(slots["_id"]) & keyed["_crc"].eqNullSafe(slots["_crc"])).select(*[keyed[c] for c in names], keyed["_crc"], "_at")
-    nth = F.row_number().over(W.partitionBy("doc_id", "_crc").orderBy(F.lit(0)))
-    return j.withColumn("_s", F.element_at("_at", nth)).select(*names, F.col("_s.shard").alias("shard"), F.col("_s.slot").alias("slot"))
+    j = keyed.join(slots, keyed["doc_id"].eqNullSafe(slots["__sharding_id"]) & keyed["__sharding_crc"].eqNullSafe(slots["__sharding_crc"])).select(*[keyed[c] for c in names], keyed["__sharding_crc"], "__sharding_at")
+    nth = F.row_number().over(W.partitionBy("doc_id", "__sharding_crc").orderBy(F.lit(0)))
+    return j.withColumn("__sharding_s", F.element_at("__sharding_at", nth)).select(*names, F.col("__sharding_s.shard").alias("shard"), F.col("__sharding_s.slot").alias("slot"))
 
 
 def op6_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,12 +242,12 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     Rows that repeat a kept doc_id go too.  Rows with a null doc_id stay, as they can't be told apart.
     """
     judged = common.materialise(near_duplicates(docs, **settings).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")), "simhash-judged")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(common.small(gone), docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    gone = judged.where("not stays").select(F.col("doc_id").alias("__simhash_id"))
+    kept = docs.join(common.small(gone), docs["doc_id"].cast("long") == F.col("__simhash_id"), "left_anti")
     if not judged.where("rows > 1 and stays").limit(1).count():
         return kept
-    again = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("_id"))), kept["doc_id"].cast("long") == F.col("_id"), "left_semi")
-    alone = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("_id"))), kept["doc_id"].cast("long") == F.col("_id"), "left_anti")
+    again = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("__simhash_id"))), kept["doc_id"].cast("long") == F.col("__simhash_id"), "left_semi")
+    alone = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("__simhash_id"))), kept["doc_id"].cast("long") == F.col("__simhash_id"), "left_anti")
     return alone.unionByName(again.dropDuplicates(["doc_id"]))
 
 
