@@ -16,4 +16,15 @@ QUERIES = {
     "op9_embedding_near_dup": embeddings.op9_embedding_near_dup,
     "op10_language_id": langid.op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Only the embedding query has an SQL form; the others rest on XXH64, fitted models or keyed draws and are tested against
+#: brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op9_embedding_near_dup": """WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+      reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+      n AS (SELECT a, count(*) AS n FROM link GROUP BY 1), low AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)
+      SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(least(vec_id, coalesce(m, vec_id)) AS BIGINT) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+      FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN low ON vec_id = low.a""",
+}
