@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space and the ASCII controls tab..carriage return.
 WORD_PATTERN = r"[^ \t-\r]+"
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,12 @@ def scratch_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
-    This cuts the lineage and survives the loss of any executor.  The files stay until :func:`discard` or until
+    This cuts the lineage and survives the loss of any executor.  The files stay until :func:`discard` or :func:`sweep`, or until
     whoever owns the checkpoint folder clears it, because the returned frame is lazy.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/marlpit/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -51,12 +53,24 @@ def bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/marlpit/{name}"
+    _MADE.append(path)
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._marlpit_path = path
     return out
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete all scratch tables that this driver has made.  For callers, once what they wanted is written elsewhere."""
+    n = 0
+    while _MADE:
+        path = _MADE.pop()
+        with contextlib.suppress(Exception):
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            n += bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    return n
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the scratch files behind frames made by :func:`materialise` that no later plan reads."""
     for df in frames:
@@ -73,6 +87,18 @@ def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def join_first(left: DataFrame, first: DataFrame, key: str, total: int, share: int = 50_000) -> DataFrame:
+    """``left`` joined with ``first``, one row a ``key`` with its number of occurrences ``df`` in ``left``.
+
+    A key with more than ``total / share`` of the ``total`` rows of ``left`` is hot; fewer than ``share`` keys can be, so
+    these are broadcast and their rows stay where they are, the others are joined by a shuffle.
+    """
+    limit = max(200, total // share)
+    hot = materialise(first.where(F.col("df") > limit), "hot")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(first.where(F.col("df") <= limit), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 

@@ -95,36 +95,42 @@ def lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            th, hs, ws = [], [], []
-            for x in b.column(1):
+            hs, ws = [], []
+            for x in b.column(2):
                 t = x.as_py()
                 parts = [] if t is None else [p.strip() for p in t.split(b"\n")]
-                th.append(digest(t) - (1 << 63) if t is not None else None)
                 hs.append(np.array([digest(p) for p in parts], dtype=np.uint64).view(np.int64))
                 ws.append(np.array([len(p.split()) for p in parts], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, type=pa.int64()), pa.array(hs, type=pa.list_(pa.int64())), pa.array(ws, type=pa.list_(pa.int32()))], names=["doc_id", "th", "lines", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hs, type=pa.list_(pa.int64())), pa.array(ws, type=pa.list_(pa.int32()))], names=["doc_id", "th", "lines", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, th long, lines array<long>, words array<int>")
+    th = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), th.alias("th"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, th long, lines array<long>, words array<int>")
 
 
 def find_repeats(docs: DataFrame, *, least_words: int = 8, rare: int = 50) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_lines, n_removed, removed (array of line numbers from 0,
+    """One row per row of ``docs(doc_id, text)``: doc_id, th (xxhash64 of the text), n_lines, n_removed, removed (array of line numbers from 0,
     ascending), sources (ids of the earlier documents that hold them, ascending).
 
     Lines are cut at line feeds and compared without blanks at their ends.  A common block is removed from the document
     with the larger id if it has at least ``least_words`` words.  Of rows with equal text all lines go but in the row with
     the smallest id (if they have a word at all).  A null text has no lines, a null doc_id counts as first of all and is
-    left alone, rows that agree in id and text get the same result.  ``rare`` only decides which lines also pair
+    left alone, rows that agree in id and text get the same result, and of rows that share an id with different texts only
+    one (the smallest text hash) is aligned.  ``rare`` only decides which lines also pair
     neighbours.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = common.materialise(lines(docs), "line-rows")
-    first = rows.where("doc_id is not null and th is not null").groupBy("th").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(first, (rows["th"] == first["th"]) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "lines", "words").dropDuplicates(["doc_id"])
-    reps = common.materialise(reps, "line-reps")
+    texts = rows.where("th is not null")
+    first = texts.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("df"))
+    tagged = common.join_first(texts, first, "th", texts.count()).drop("df")
+    rows = common.materialise(tagged.unionByName(rows.where("th is null").withColumn("rep", F.lit(None).cast("long"))), "line-tagged")
+    reps = rows.where("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("lines", "words", "th"), "th").alias("r"))
+    reps = common.materialise(reps.select("doc_id", "r.*"), "line-reps")
     line = reps.select("doc_id", F.explode(F.array_distinct(F.filter(F.zip_with("lines", "words", lambda h, n: F.when(n > 0, h)), lambda h: h.isNotNull()))).alias("h"))
     shared = line.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    held = common.materialise(line.join(shared, "h"), "line-shared")
+    shared = common.materialise(shared, "line-first")
+    total = reps.agg(F.sum(F.size("lines"))).first()[0] or 0
+    held = common.materialise(common.join_first(line, shared, "h", total), "line-shared")
     star = held.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     step = held.where(F.col("df").between(3, rare)).withColumn("a", F.lag("doc_id").over(W.partitionBy("h").orderBy("doc_id"))).where("a is not null").select("a", F.col("doc_id").alias("b"))
     pairs = star.unionByName(step).distinct()
@@ -139,20 +145,21 @@ def find_repeats(docs: DataFrame, *, least_words: int = 8, rare: int = 50) -> Da
     cut = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "words").mapInArrow(run, "a long, b long, cut array<int>")
     # One document's partners are at most twice its lines.
     cut = cut.groupBy("b").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"), F.array_sort(F.collect_set("a")).alias("from"))
-    total = rows.join(first, "th", "left").join(cut, rows["doc_id"] == cut["b"], "left")
+    cut = cut.join(reps.select(F.col("doc_id").alias("b"), F.col("th").alias("of")), "b")
+    total = rows.join(cut, (F.col("doc_id") == F.col("b")) & (F.col("th") == F.col("of")), "left")
     size = F.size("lines")
     copy = (F.col("doc_id") > F.col("rep")) & F.exists("words", lambda n: n > 0)
     removed = F.when(copy, F.sequence(F.lit(0), size - 1)).otherwise(F.coalesce("cut", F.array().cast("array<int>")))
     sources = F.when(copy, F.array("rep")).otherwise(F.coalesce("from", F.array().cast("array<long>")))
-    return total.select("doc_id", size.alias("n_lines"), removed.alias("removed"), sources.alias("sources")).withColumn("n_removed", F.size("removed"))
+    return total.select("doc_id", "th", size.alias("n_lines"), removed.alias("removed"), sources.alias("sources")).withColumn("n_removed", F.size("removed"))
 
 
 def strip_repeats(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with repeated blocks cut from ``text``; rows keep their other columns, a row left without lines gets ``''``."""
-    found = find_repeats(docs, **settings).where("n_removed > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max_by("removed", "n_removed").alias("_cut"))
-    j = docs.join(found, docs["doc_id"] == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_cut", i)), "\n")
-    return j.select(*[F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    found = find_repeats(docs, **settings).where("n_removed > 0").select(F.col("doc_id").alias("__linededup_id"), F.col("th").alias("__linededup_th"), F.col("removed").alias("__linededup_cut")).dropDuplicates(["__linededup_id", "__linededup_th"])
+    j = docs.join(found, (docs["doc_id"].cast("long") == F.col("__linededup_id")) & (F.xxhash64(docs["text"]) == F.col("__linededup_th")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__linededup_cut", i)), "\n")
+    return j.select(*[F.when(F.col("__linededup_cut").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

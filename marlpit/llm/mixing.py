@@ -83,7 +83,7 @@ def splitting_tree(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.posexplode("q").alias("idx", "n"))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, blocks_per_source: int = 1024, rows_per_run: int = 2_000, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, **settings) -> DataFrame:
     """One row per row of ``docs(doc_id, text, source)``: what the mix takes of it.
 
     Columns: doc_id, source, size (words), source_size, target, taken (words, repeats counted), copies (whole copies
@@ -92,8 +92,30 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
 
     Null text has size 0; a null source is a source of its own, last in order.  A source without words has target 0 and
     nothing taken.  Rows that repeat are mixed as separate rows.  Other columns of ``docs`` are ignored.  An empty table
-    gives no rows.  Every choice is a keyed hash of the row, so that reruns agree.
+    gives no rows.  Every choice is a keyed hash of the row, so that reruns agree.  ``settings`` are those of :func:`lay_out`.
     """
+    return lay_out(docs, **settings)[0].select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "taken", "copies", "shards", "crc")
+
+
+def shard_contents(docs: DataFrame, **settings) -> DataFrame:
+    """What each output shard holds, in its own shuffled order: ``shard, place, doc_id, crc, start, words``.
+
+    A row is a stretch of a document's words that one drawn block covers; stretches of all shards add up to ``taken``.
+    ``place`` is a keyed hash; each shard is sorted by it within its partition, so shards are shuffled locally.
+    """
+    rows, owned = lay_out(docs, **settings)
+    spans = rows.where("size > 0").select("sk", "doc_id", "crc", "h", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / F.col("bw")), F.floor((F.col("end") - 1) / F.col("bw")))).alias("b"))
+    j = spans.join(owned.select("sk", "b", "bw", "pass", "words", "shard"), ["sk", "b"])
+    lo = F.greatest("begin", F.col("b") * F.col("bw"))
+    hi = F.least("end", F.col("b") * F.col("bw") + F.col("words"))
+    j = j.withColumn("start", lo - F.col("begin")).withColumn("words", hi - lo).where("words > 0")
+    out = j.select("shard", F.xxhash64("shard", "h", "b", "pass").alias("place"), "doc_id", "crc", "start", "words")
+    return out.repartition("shard").sortWithinPartitions("shard", "place", "doc_id", "start")
+
+
+def lay_out(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, n_shards: int = 8, blocks_per_source: int = 1024, rows_per_run: int = 2_000, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``(rows, draws)``: documents with their place on their source's line and what is taken of them; drawn blocks with
+    the shard that owns each draw."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), common.n_words(F.col("text")).alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     rows = rows.withColumn("sk", F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), "source")))
     rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "crc"))
@@ -151,13 +173,13 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: float =
 
     b_first, b_last = F.floor(begin / F.col("bw")).cast("int"), F.floor((end - 1) / F.col("bw")).cast("int")
     dealt = F.when(F.col("size") > 0, F.array_sort(F.array_distinct(F.flatten(F.transform(F.slice("line", b_first - F.col("b0") + 1, b_last - b_first + 1), lambda c: c["shards"])))))
-    got = got.withColumn("taken", (drawn(end) - drawn(begin)).cast("long")).withColumn("shards", F.when(F.col("taken") > 0, dealt).otherwise(F.array().cast("array<int>")))
+    got = got.withColumn("begin", begin).withColumn("end", end).withColumn("taken", (drawn(end) - drawn(begin)).cast("long")).withColumn("shards", F.when(F.col("taken") > 0, dealt).otherwise(F.array().cast("array<int>")))
     # Whole copies: fractions are carried along the documents of a run from small to large.
     got = got.withColumn("_f", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0)))
     by_size = W.partitionBy("sk", "run").orderBy("size", "h", "doc_id", "crc").rowsBetween(W.unboundedPreceding, 0)
     got = got.withColumn("_c", F.sum("_f").over(by_size) + _uniform(F.lit(seed + 4), "sk", "run"))
     got = got.withColumn("copies", (F.floor(F.col("_c") + 1e-9) - F.floor(F.col("_c") - F.col("_f") + 1e-9)).cast("int"))
-    return got.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), "taken", "copies", "shards", "crc")
+    return got, owned
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

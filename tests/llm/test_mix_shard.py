@@ -65,6 +65,25 @@ def test_mix(spark, docs):
     assert key(got) == key(mixing.mix(docs.repartition(7)).collect())
 
 
+def test_shard_contents(spark, docs):
+    """Shards hold just what is taken, every word of a document at most as often as the mix repeats it, in mixed order."""
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.crc] = taken.get((r.doc_id, r.crc), 0) + r.taken
+    held, words, sizes = {}, {}, {(r.doc_id, r.crc): r["size"] for r in mixing.mix(docs).collect()}
+    rows = mixing.shard_contents(docs).collect()
+    for r in rows:
+        k = (r.doc_id, r.crc)
+        held[k] = held.get(k, 0) + r.words
+        words[r.shard] = words.get(r.shard, 0) + r.words
+        assert 0 <= r.start and r.start + r.words <= sizes[k]
+    assert held == {k: v for k, v in taken.items() if v}
+    assert max(words.values()) < 1.1 * min(words.values()) and len(words) == 8
+    for s in range(8):
+        places = [r.place for r in rows if r.shard == s]
+        assert places == sorted(places)
+
+
 def test_tree_splits_exactly(spark):
     q = [5, 0, 17, 3, 1000]
     df = spark.createDataFrame([(q,)], "q array<long>")
