@@ -147,17 +147,24 @@ def index_rows(records: DataFrame, order: str = "first_position") -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list, name: str, ranges: int = 64) -> DataFrame:
-    """``df`` with a gapless number from 0 in a total order, without sorting it in one task: hash buckets by range of the
-    first sort column, counted, and numbered within."""
-    keyed = df.withColumn("_o", order[0])
-    bounds = keyed.select(F.percentile_approx("_o", [i / ranges for i in range(1, ranges)], 10_000).alias("b"))
-    keyed = keyed.crossJoin(F.broadcast(bounds)).withColumn("_p", F.when(F.col("_o").isNull(), F.lit(-1)).otherwise(F.size(F.filter("b", lambda x: x <= F.col("_o"))))).drop("b")
+    """``df`` with a gapless number from 0 in a total order, without sorting it in one task: ranges of the first sort column
+    (numeric) are counted, and rows numbered within each.  The bounds are fixed first, by one small aggregate."""
+    keyed = df.withColumn("_o", order[0]).withColumn("_p", range_of(df, order[0], ranges))
     counts = keyed.groupBy("_p").agg(F.count("*").alias("_n"))
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     within = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
     return keyed.withColumn("_k", within).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_s") + F.col("_k")).cast("long")).drop("_o", "_p", "_k", "_s")
 
 
+def range_of(df: DataFrame, column: Column, ranges: int) -> Column:
+    """Number of the range of ``column`` that a row falls into: -1 for null, then ascending; about equal ranges of rows."""
+    got = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    bounds = sorted(set(got or []))
+    if not bounds:
+        return F.when(column.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    return F.when(column.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x <= column)))
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """``term, row``, distinct: folded tokens of title and original title, and the year if known."""
     from ..functions.text import fold_text, tokenize
@@ -168,5 +175,9 @@ def postings(rows: DataFrame) -> DataFrame:
 
 def term_frequencies(posts: DataFrame) -> DataFrame:
     """``term, df, offset``: how many rows hold a term, and where its postings begin in term order."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("offset", F.coalesce(F.sum("df").over(W.orderBy("term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("_p", F.left("term", F.lit(2)))
+    # Running sums by the first two characters, then within them: no task orders the whole vocabulary.
+    heads = df.groupBy("_p").agg(F.sum("df").alias("_n"))
+    before = heads.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    within = F.coalesce(F.sum("df").over(W.partitionBy("_p").orderBy("term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_w", within).join(before, "_p").select("term", "df", (F.col("_b") + F.col("_w")).cast("long").alias("offset"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from .catalog import number_rows
 
 
 def unsuperseded(rows: DataFrame, superseded: DataFrame, key: str = "stable_key") -> DataFrame:
@@ -52,7 +53,8 @@ def top_by_votes(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def batches(items: DataFrame, order: list, size: int = 250) -> DataFrame:
-    return items.withColumn("batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("long"))
+    """``items`` with their batch in a total order whose first column is numeric and ascending."""
+    return number_rows(items, order, "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def assets(manifest: DataFrame) -> DataFrame:
@@ -83,9 +85,8 @@ def next_chain(chain: DataFrame, adding: DataFrame, is_base: bool) -> DataFrame:
     """The delta chain after publishing: a base resets it, a name that is there already is replaced at the end."""
     if is_base:
         return chain.limit(0)
-    top = chain.agg(F.coalesce(F.max("position"), F.lit(-1)).alias("_top"))
-    added = adding.crossJoin(top).select(*[F.col("_top") + 1 if c == "position" else F.col(c) for c in chain.columns])
-    added = added.toDF(*chain.columns)
+    top = chain.agg(F.coalesce(F.max("position"), F.lit(-1))).first()[0]
+    added = adding.select(*[F.lit(top + 1).cast(chain.schema[c].dataType).alias(c) if c == "position" else F.col(c) for c in chain.columns])
     return chain.join(adding.select("name"), "name", "left_anti").select(*chain.columns).unionByName(added)
 
 

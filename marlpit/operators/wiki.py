@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import records as R
 from ..functions.text import fnv31
+from .catalog import number_rows, range_of
 
 #: Namespaces whose pages count as articles.
 CONTENT_NAMESPACES = ("Anexo:", "Appendix:")
@@ -88,8 +89,7 @@ def budget_prefix(records: DataFrame, size: str, budget: int, ranges: int = 64)
 
     Running sums by popularity range: range totals first, then a window within each range, so no task orders everything.
     """
-    bounds = records.select(F.percentile_approx("popularity", [i / ranges for i in range(1, ranges)], 10_000).alias("b"))
-    r = records.crossJoin(F.broadcast(bounds)).withColumn("_p", F.size(F.filter("b", lambda x: x <= F.col("popularity")))).drop("b")
+    r = records.withColumn("_p", range_of(records, F.col("popularity"), ranges))
     totals = r.groupBy("_p").agg(F.sum(size).alias("_t"))
     before = totals.select("_p", F.coalesce(F.sum("_t").over(W.orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     run = F.sum(size).over(W.partitionBy("_p").orderBy(F.col("popularity").desc(), "id").rowsBetween(W.unboundedPreceding, 0))
@@ -113,7 +113,7 @@ def entity_groups(bindings: DataFrame, bands: DataFrame) -> DataFrame:
     order in which they are first seen."""
     hit = bindings.join(bands, ["lang", "title"])
     per = hit.groupBy("item").agg(F.count_distinct("lang").alias("_n"), F.min("position").alias("_first")).where("_n >= 2")
-    ids = per.select("item", F.row_number().over(W.orderBy("_first", "item")).alias("group_id"))
+    ids = number_rows(per, [F.col("_first"), F.col("item")], "n").select("item", (F.col("n") + 1).alias("group_id"))
     return hit.join(ids, "item").select("group_id", "item", "lang", "stable_key", "title")
 
 
@@ -127,8 +127,7 @@ def pending_keys(titles: DataFrame, asked: DataFrame, chunk: int = 1000, limit:
     """Titles not asked for yet, most read first, with the chunk each is asked in."""
     p = titles.join(asked.select("lang", "title"), ["lang", "title"], "left_anti").orderBy(F.col("views").desc(), "lang", "title")
     p = p.limit(limit) if limit else p
-    n = F.row_number().over(W.orderBy(F.col("views").desc(), "lang", "title"))
-    return p.withColumn("chunk", F.floor((n - 1) / chunk).cast("long"))
+    return number_rows(p, [-F.col("views"), F.col("lang"), F.col("title")], "chunk").withColumn("chunk", F.floor(F.col("chunk") / chunk).cast("long"))
 
 
 def churn(levels: DataFrame) -> DataFrame:

@@ -554,7 +554,7 @@ def bindings(spark: SparkSession, d: str) -> DataFrame:
 GROUPS = f"""{BANDS}, bind AS (SELECT doc_id % 60 AS item, lang, title, doc_id AS position FROM bands),
   hit AS (SELECT item, lang, title, position, stable_key FROM bind JOIN bands USING (lang, title)),
   ok AS (SELECT item, row_number() OVER (ORDER BY f, item) AS group_id FROM (SELECT item, min(position) AS f FROM hit GROUP BY 1 HAVING count(DISTINCT lang) >= 2)),
-  grp AS (SELECT CAST(group_id AS INTEGER) AS group_id, item, lang, stable_key, title FROM hit JOIN ok USING (item))"""
+  grp AS (SELECT group_id, item, lang, stable_key, title FROM hit JOIN ok USING (item))"""
 
 
 @query(f"WITH {GROUPS} SELECT group_id, item, lang, stable_key, title FROM grp")
@@ -684,7 +684,7 @@ def sync_plan(spark, d):
 @query(f"WITH {CAT} SELECT stable_key, CAST(floor((row_number() OVER (ORDER BY vote_count DESC, popularity DESC, stable_key) - 1) / 250) AS BIGINT) AS batch FROM cat")
 def push_batches(spark, d):
     c = catalogue(spark, d).withColumn("stable_key", R.stable_key(F.col("media_type"), F.col("id")))
-    return versions.batches(c, [F.col("vote_count").desc(), F.col("popularity").desc(), F.col("stable_key")]).select("stable_key", "batch")
+    return versions.batches(c, [-F.col("vote_count"), F.col("popularity").desc(), F.col("stable_key")]).select("stable_key", "batch")
 
 
 @query("SELECT event_type, count(*) AS n, list_sort(list(value))[CAST(floor(0.5 * count(*)) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INTEGER) + 1] AS p95, list_sort(list(value))[CAST(floor(0.99 * count(*)) AS INTEGER) + 1] AS p99, max(value) AS top FROM events GROUP BY 1")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .. import schema
+from ..operators.catalog import number_rows
 from .readers import exists
 
 
@@ -55,9 +55,9 @@ def write_views(sample: DataFrame, meta: dict, path: str) -> None:
 
 
 def push_batches(items: DataFrame, order: list, push: Callable[[int, list], None], size: int = 250, done: int = -1) -> int:
-    """Hand ``items`` to ``push(batch, rows)`` on the executors, ``size`` at a time in a total order, batches up to
-    ``done`` skipped; returns the number of batches.  ``push`` must be idempotent per batch: tasks may run again."""
-    numbered = items.withColumn("_batch", F.floor((F.row_number().over(W.orderBy(*order)) - 1) / size).cast("int"))
+    """Hand ``items`` to ``push(batch, rows)`` on the executors, ``size`` at a time in a total order (its first column
+    numeric and ascending), batches up to ``done`` skipped; returns the number of batches.  ``push`` must be idempotent per batch: tasks may run again."""
+    numbered = number_rows(items, order, "_batch").withColumn("_batch", F.floor(F.col("_batch") / size).cast("int"))
     last = numbered.agg(F.max("_batch")).first()[0]
 
     def each(rows) -> None:

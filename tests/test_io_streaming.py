@@ -93,7 +93,7 @@ def test_push(spark, tmp_path):
         with open(f"{out}/{batch}", "w") as f:
             f.write(",".join(str(r.id) for r in rows))
 
-    assert K.push_batches(spark.range(7), [F.col("id").desc()], push, size=3, done=0) == 3
+    assert K.push_batches(spark.range(7), [-F.col("id")], push, size=3, done=0) == 3
     assert sorted(p.name for p in tmp_path.iterdir()) == ["1", "2"] and sorted((tmp_path / "1").read_text().split(",")) == ["1", "2", "3"]
 
 
