@@ -2,8 +2,8 @@
 
 Texts become sequences of word hashes.  Seeds are minimisers: of every ``window`` consecutive k-mers the one with the
 smallest hash, so that two documents that share ``window + k - 1`` words in a row share a seed.  A seed that several
-documents hold pairs each of them with the first that holds it, which keeps matches proportional to seeds however common
-a passage is.  The matches of a pair are chained: collinear, with a cost for the gaps, best predecessor from a Fenwick
+documents hold pairs each of them with the first that holds it, and if few do with the one before it, which keeps matches
+proportional to seeds however common a passage is.  The matches of a pair are chained: collinear, with a cost for the gaps, best predecessor from a Fenwick
 tree.  Chains are then aligned on the words: exact between seeds where they agree, by a banded alignment where they
 don't, and extended at both ends.  Of equal texts only the first takes part; the others are reported as copies of it.
 """
@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -192,39 +193,49 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [len(keys[0])]))
 
 
-def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_words: int = 50, identity: float = 0.8, gap: float = 0.15, reach: int = 60, slack: int = 80) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_words: int = 50, identity: float = 0.8, gap: float = 0.15, reach: int = 60, slack: int = 80, rare: int = 50) -> DataFrame:
     """``(doc_id, start, end, of_doc_id, of_start, of_end, edits, kind)``: passages that repeat an earlier document's.
 
     Places count words (split at ASCII blanks, A-Z lower-cased).  ``kind`` is ``copy`` for a text that equals that of a
     smaller doc_id (the whole text, whatever its length; the first such row stands for all) and ``passage`` for a stretch
     of at least ``least_words`` words on both sides that is within ``1 - identity`` edits a word of a stretch of a
     document with a smaller id.  Null and blank texts give no rows, a null doc_id takes no part, rows that agree in id
-    and text count once.  An empty table gives no rows.
+    and text count once, of rows that share an id with different texts one (the smallest text hash) takes part.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("text"))
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            th, n, hs, ps = [], [], [], []
-            for v in b.column(1):
+            n, hs, ps = [], [], []
+            for v in b.column(2):
                 t = v.as_py()
                 h = word_hashes(t)
                 g, p = seeds_of(h, k, window)
-                th.append(xxhash.xxh3_64_intdigest(t) - (1 << 63))
                 n.append(len(h))
                 hs.append(g.view(np.int64))
                 ps.append(p.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(th, type=pa.int64()), pa.array(n, type=pa.int32()), pa.array(hs, type=pa.list_(pa.int64())), pa.array(ps, type=pa.list_(pa.int32()))], names=["doc_id", "th", "n", "g", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, type=pa.int32()), pa.array(hs, type=pa.list_(pa.int64())), pa.array(ps, type=pa.list_(pa.int32()))], names=["doc_id", "th", "n", "g", "p"])
 
     rows = common.materialise(raw.mapInArrow(seed, "doc_id long, th long, n int, g array<long>, p array<int>").where("n > 0"), "pass-rows")
-    first = rows.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    # Rows that share an id with different texts can't be told apart by id: one of them takes part.
+    mixed = common.small(common.materialise(rows.groupBy("doc_id").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low <> high").select("doc_id", "low"), "pass-mixed"))
+    rows, raw = (df.join(mixed, "doc_id", "left").where("low is null or th = low").drop("low") for df in (rows, raw))
+    first = rows.groupBy("th").agg(F.min("doc_id").alias("rep"), F.count("*").alias("df"))
     # Most texts are alone; those that aren't decide who takes part.
-    twins = common.materialise(rows.select("doc_id", "th", "n").join(first.where("c > 1"), "th").select("doc_id", "rep", "n").distinct(), "pass-twins")
+    twins = common.materialise(common.join_first(rows.select("doc_id", "th", "n"), first.where("df > 1"), "th", rows.count()).select("doc_id", "rep", "n").distinct(), "pass-twins")
     copies = twins.where("doc_id > rep").select("doc_id", F.lit(0).alias("start"), F.col("n").alias("end"), F.col("rep").alias("of_doc_id"), F.lit(0).alias("of_start"), F.col("n").alias("of_end"), F.lit(0).alias("edits"), F.lit("copy").alias("kind"))
     sole = rows.join(twins.where("doc_id > rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.explode(F.arrays_zip("g", "p")).alias("s")).select("doc_id", F.col("s.g").alias("g"), F.col("s.p").alias("p"))
-    start = sole.groupBy("g").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.max("doc_id").alias("m")).where("m > f.doc_id").select("g", F.col("f.doc_id").alias("a"), F.col("f.p").alias("ap"))
-    match = sole.join(start, "g").where("doc_id > a").select(F.col("doc_id").alias("b"), "a", F.col("p").alias("bp"), "ap")
+    start = sole.groupBy("g").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.max("doc_id").alias("m"), F.count("*").alias("df")).where("m > f.doc_id")
+    start = common.materialise(start.select("g", F.col("f.doc_id").alias("a"), F.col("f.p").alias("ap"), "df"), "pass-first")
+    total = rows.agg(F.sum(F.size("g"))).first()[0] or 0
+    held = common.materialise(common.join_first(sole, start, "g", total), "pass-held")
+    match = held.where("doc_id > a").select(F.col("doc_id").alias("b"), "a", F.col("p").alias("bp"), "ap")
+    # A rarer seed also pairs each document with the one before it: parts of a passage may have first come apart.
+    once = held.where(F.col("df").between(3, rare)).groupBy("g", "doc_id").agg(F.min("p").alias("p"))
+    order = W.partitionBy("g").orderBy("doc_id")
+    step = once.select(F.col("doc_id").alias("b"), F.lag("doc_id").over(order).alias("a"), F.col("p").alias("bp"), F.lag("p").over(order).alias("ap")).where("a is not null")
+    match = match.unionByName(step).distinct()
     match = match.repartition("b", "a").sortWithinPartitions("b", "a", "bp", "ap")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +272,9 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
     # Each side asks for its stretch of words; a document's requests come in batches, so that a common one isn't one task.
     ask = found.select("id", "a", "b", "b0", "a0", "b1", "a1")
     ask = ask.select(F.explode(F.array(F.struct(F.col("b").alias("doc_id"), "id", F.lit(1).alias("side"), F.col("b0").alias("lo"), F.col("b1").alias("hi")), F.struct(F.col("a").alias("doc_id"), "id", F.lit(0).alias("side"), F.col("a0").alias("lo"), F.col("a1").alias("hi")))).alias("q")).select("q.*")
-    batch = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("c") / 200)).cast("long"))
-    many = ask.groupBy("doc_id").agg(F.count("*").alias("c"))
-    ask = ask.join(many, "doc_id").groupBy("doc_id", batch.alias("part")).agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("asks")).drop("part")
+    batch = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("df") / 200)).cast("long"))
+    many = ask.groupBy("doc_id").agg(F.count("*").alias("df"))
+    ask = common.join_first(ask, many, "doc_id", 2 * found.count()).groupBy("doc_id", batch.alias("part")).agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("asks")).drop("part")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:

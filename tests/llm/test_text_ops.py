@@ -115,6 +115,8 @@ def test_line_dedup(spark):
     out = {x.doc_id: x.text for x in linededup.strip_repeats(df.withColumn("cut", F.lit(1))).collect()}
     assert out[2] == ls[20] + "\n" + ls[21] and out[4] == "" and out[6] == "ok\nyes" and out[8] is None and out[10] == "\n\n"
     assert linededup.find_repeats(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, ls[50] + "\n" + ls[51]), (2, ls[50] + "\n" + ls[52]), (2, ls[53] + "\n" + ls[54]), (2, ls[53] + "\n" + ls[54])], DOCS)
+    assert linededup.strip_repeats(twice).count() == 4 and {ls[53] + "\n" + ls[54]} <= {x.text for x in linededup.strip_repeats(twice).collect()}
 
 
 def test_line_dedup_hot_groups(spark):
@@ -183,11 +185,13 @@ def test_passages(spark):
     df = spark.createDataFrame(docs, DOCS)
     got = passages.repeated_passages(df).collect()
     pairs = {(x.doc_id, x.of_doc_id): x for x in got if x.kind == "passage"}
-    assert set(pairs) == {(2, 1), (3, 1), (4, 3)}
+    assert set(pairs) == {(2, 1), (3, 1), (3, 2), (4, 3)}
     assert (pairs[2, 1].start, pairs[2, 1].end, pairs[2, 1].of_start, pairs[2, 1].of_end, pairs[2, 1].edits) == (90, 170, 40, 120, 0)
     assert pairs[3, 1].edits == 5 and pairs[3, 1].end - pairs[3, 1].start >= 70
     assert {(x.doc_id, x.of_doc_id) for x in got if x.kind == "copy"} == {(7, 6), (11, 10)}
     assert passages.repeated_passages(df.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, p), (2, prose(70, r)), (2, prose(70, r) + " " + p), (3, p + " x")], DOCS)
+    assert {(x.doc_id, x.of_doc_id) for x in passages.repeated_passages(twice).collect()} >= {(3, 1)}
 
 
 def test_passages_hot(spark):
@@ -199,6 +203,14 @@ def test_passages_hot(spark):
     assert {x.doc_id for x in got} == set(range(1, 400)) and len(got) < 450
 
 
+def test_passage_whose_halves_came_first_elsewhere(spark):
+    r = random.Random(14)
+    w = prose(70, r).split()
+    docs = [(1, prose(20, r) + " " + " ".join(w[:35])), (2, " ".join(w[35:]) + " " + prose(20, r)), (3, prose(9, r) + " " + " ".join(w)), (4, " ".join(w) + " " + prose(9, r))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {(x.doc_id, x.of_doc_id) for x in got} == {(4, 3)}
+
+
 def test_passages_stutter(spark):
     """Texts that repeat one word, or themselves, are matched too."""
     docs = [(1, prose(30) + " of" * 120), (2, "of " * 90 + prose(30))]
