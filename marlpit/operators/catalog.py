@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import records as R
+from ..functions.text import fold_text, tokenize
 
 KEY = ["media_type", "id"]
 
@@ -143,6 +144,8 @@ def index_rows(records: DataFrame, order: str = "first_position") -> DataFrame:
     """
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("original_title", F.lit("")))
     titled = records.withColumn("title", title).where("title is not null").withColumn("stable_key", R.stable_key(F.col("media_type"), F.col("id")))
+    # Folded once here, so that a search compares and never folds.
+    titled = titled.withColumns({"title_folded": fold_text(F.col("title")), "original_folded": fold_text(F.col("original_title"))})
     return number_rows(titled, [F.col(order), F.col("stable_key")], "row")
 
 
@@ -167,12 +170,16 @@ def range_of(df: DataFrame, column: Column, ranges: int) -> Column:
 
 def postings(rows: DataFrame) -> DataFrame:
     """``term, row``, distinct: folded tokens of title and original title, and the year if known."""
-    from ..functions.text import fold_text, tokenize
-
-    terms = F.concat(tokenize(fold_text(F.col("title"))), tokenize(fold_text(F.col("original_title"))), F.when(F.col("year") > 0, F.array(F.col("year").cast("string"))).otherwise(F.array().cast("array<string>")))
+    terms = F.concat(tokenize(folded(rows, "title")), tokenize(folded(rows, "original")), F.when(F.col("year") > 0, F.array(F.col("year").cast("string"))).otherwise(F.array().cast("array<string>")))
     return rows.select(F.explode(F.array_distinct(terms)).alias("term"), "row")
 
 
+def folded(rows: DataFrame, which: str) -> Column:
+    """The folded ``title`` or ``original`` title: stored with the index, else folded here."""
+    name = f"{which}_folded"
+    return F.col(name) if name in rows.columns else fold_text(F.col("title" if which == "title" else "original_title"))
+
+
 def term_frequencies(posts: DataFrame) -> DataFrame:
     """``term, df, offset``: how many rows hold a term, and where its postings begin in term order."""
     df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("_p", F.left("term", F.lit(2)))

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions import records as R
 from ..functions.text import all_terms_match, fold_text, is_subsequence, tokenize
 from ..operators import versions
+from ..operators.catalog import folded
 
 #: Points of the score's tiers.
 EXACT, PREFIX, TOKEN_PREFIX, TOKEN_INSIDE, SUBSEQUENCE = 1048576, 262144, 65536, 16384, 4096
@@ -76,8 +77,7 @@ def search(rows: DataFrame, postings: DataFrame, query: str, *, now_year: int, l
     got = rows.join(candidates(postings, terms, candidate_pool), "row", "left_semi")
     if superseded is not None:
         got = versions.resolve(got, superseded)
-    tf, of = fold_text(F.col("title")), fold_text(F.col("original_title"))
-    got = got.withColumns({"_t": tf, "_o": of})
+    got = got.withColumns({"_t": folded(got, "title"), "_o": folded(got, "original")})
     term_array = F.array(*[F.lit(t) for t in terms])
     got = got.withColumn("score", score(F.col("_t"), F.col("_o"), F.lit(q), term_array, F.col("year"), F.col("vote_count"), now_year))
     got = got.withColumn("matched_original", matched_original(F.col("_t"), F.col("_o"), term_array))
@@ -113,7 +113,7 @@ def search_batch(rows: DataFrame, postings: DataFrame, queries: DataFrame, *, no
     need = q.select("qid", F.size(F.array_distinct("terms")).alias("need"))
     hit = asked.join(of_prefix, "prefix").groupBy("qid", "row").agg(F.count("*").alias("n")).join(need, "qid").where("n = need").select("qid", "row")
     got = hit.join(rows, "row").join(q, "qid")
-    got = got.withColumn("score", score(fold_text(F.col("title")), fold_text(F.col("original_title")), F.col("q"), F.col("terms"), F.col("year"), F.col("vote_count"), now_year))
+    got = got.withColumn("score", score(folded(got, "title"), folded(got, "original"), F.col("q"), F.col("terms"), F.col("year"), F.col("vote_count"), now_year))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "stable_key"))
     return got.withColumn("rank", rank).where(F.col("rank") <= limit).select("qid", "rank", "stable_key", "title", "score")
 
