@@ -1,4 +1,4 @@
-"""Fixtures of the reference-shaped kind: stores, bands, deltas, queues."""
+"""Record fixtures: stores, bands, deltas, queues."""
 
 from helpers import records
 from pyspark.sql import functions as F
