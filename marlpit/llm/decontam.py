@@ -73,6 +73,7 @@ class Items:
     item: np.ndarray
     pos: np.ndarray
     seen: np.ndarray  # bitmap of prefixes
+    edits: np.ndarray  # edit budget of each item's windows
     need: np.ndarray  # q-grams that a region of each item shares at least
 
     @staticmethod
@@ -86,8 +87,8 @@ class Items:
         seen = np.zeros(1 << 22, dtype=bool)
         seen[gram >> np.uint64(42)] = True
         m = np.array([min(window, len(c)) for c in texts], dtype=np.int64)
-        need = np.maximum(1, m + 1 - q - (rate * m).astype(np.int64) * q)
-        return Items([i for i, _ in rows], texts, gram[order], item[order], pos[order], seen, need)
+        edits = (rate * m).astype(np.int64)
+        return Items([i for i, _ in rows], texts, gram[order], item[order], pos[order], seen, edits, np.maximum(1, m + 1 - q - edits * q))
 
 
 def hits(block: Items, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,30 +140,22 @@ def passages(block: Items, text: str | None, q: int, rate: float, window: int) -
     if not keep.any():
         return []
     at, item, pos = at[keep], item[keep], pos[keep]
+    # Bands of width 2k + 1 that overlap by half: a passage's hits all lie in one of them.
+    base = (at - pos) // (block.edits[item] + 1) + (1 << 34)
+    key = np.concatenate(((item.astype(np.int64) << 36) + base, (item.astype(np.int64) << 36) + base - 1))
+    order = np.argsort(key, kind="stable")
+    starts, ends = _runs(key[order])
+    of = key[order[starts]] >> 36
     found = []
-    order = np.lexsort((at, item))
-    at, item, pos = at[order], item[order], pos[order]
-    for s, e in zip(*_runs(item), strict=True):
-        b = block.texts[int(item[s])]
-        m = min(window, len(b))
-        k = int(rate * m)
-        need = int(block.need[int(item[s])])
-        d = at[s:e] - pos[s:e]
-        # Bands of width 2k + 1 that overlap by half: a passage's hits all lie in one of them.
-        step = k + 1
-        slot = np.concatenate((d // step, d // step - 1))
-        where = np.concatenate((np.arange(s, e), np.arange(s, e)))
-        o = np.lexsort((at[where], slot))
-        slot, where = slot[o], where[o]
-        for bs, be in zip(*_runs(slot), strict=True):
-            if be - bs < need:
-                continue
-            x, y = at[where[bs:be]], pos[where[bs:be]]
-            # Where the item occurs more than once near a diagonal, each stretch of hits is a region.
-            for rs, re_ in zip(*_stretches(x, len(b) + 2 * k + 1), strict=True):
-                if re_ - rs < need:
-                    continue
-                found += _verify(block, int(item[s]), c, b, x[rs:re_], y[rs:re_], m, k, q, need)
+    for bs, be, it in zip(*(v[ends - starts >= block.need[of]].tolist() for v in (starts, ends, of)), strict=True):
+        b, k, need = block.texts[it], int(block.edits[it]), int(block.need[it])
+        where = order[bs:be] % len(at)
+        where = where[np.argsort(at[where], kind="stable")]
+        x, y = at[where], pos[where]
+        # Where the item occurs more than once near a diagonal, each stretch of hits is a region.
+        for rs, re_ in zip(*_stretches(x, len(b) + 2 * k + 1), strict=True):
+            if re_ - rs >= need:
+                found += _verify(block, it, c, b, x[rs:re_], y[rs:re_], min(window, len(b)), k, q, need)
     return _best(found)
 
 
