@@ -178,6 +178,9 @@ def _verify(block: Items, it: int, c: np.ndarray, b: np.ndarray, x: np.ndarray,
         if len(np.unique(y[inside])) < need:
             continue
         diagonal = int(np.median(x[inside] - y[inside])) + w
+        if diagonal >= 0 and np.array_equal(c[diagonal : diagonal + m], b[w : w + m]):  # nothing to align
+            out.append((it, diagonal, diagonal + m, 0))
+            continue
         lo = max(0, diagonal - 2 * k - 1)
         a = c[lo : diagonal + m + 2 * k + 1]
         edits, s, e = banded(a, b[w : w + m], diagonal - lo, 2 * k + 1)
