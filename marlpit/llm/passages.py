@@ -3,13 +3,15 @@
 Texts become sequences of word hashes.  Seeds are minimisers: of every ``window`` consecutive k-mers the one with the
 smallest hash, so that two documents that share ``window + k - 1`` words in a row share a seed.  A seed that several
 documents hold pairs each of them with the first that holds it, and if few do with the one before it, which keeps matches
-proportional to seeds however common a passage is.  The matches of a pair are chained: collinear, with a cost for the gaps, best predecessor from a Fenwick
-tree.  Chains are then aligned on the words: exact between seeds where they agree, by a banded alignment where they
+proportional to seeds however common a passage is.  The matches of a pair are chained: collinear, with a cost for the
+gaps, best predecessor within reach.  Chains are then aligned on the words: exact between seeds where they agree, by a banded alignment where they
 don't, and extended at both ends.  Of equal texts only the first takes part; the others are reported as copies of it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,55 +74,38 @@ def seeds_of(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((g, (g[again] ^ (nth[again] * np.uint64(0xC2B2AE3D27D4EB4F))) * MULT)), np.concatenate((p, p[again]))
 
 
-class Fenwick:
-    """Largest value with its owner over places up to x."""
-
-    def __init__(self, n: int) -> None:
-        self.best = [(-1e18, -1)] * (n + 1)
-
-    def put(self, i: int, value: float, owner: int) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i][0]:
-                self.best[i] = (value, owner)
-            i += i & -i
-
-    def get(self, i: int) -> tuple[float, int]:
-        out = (-1e18, -1)
-        while i > 0:
-            if self.best[i][0] > out[0]:
-                out = self.best[i]
-            i -= i & -i
-        return out
-
-
 def chains(x: np.ndarray, y: np.ndarray, k: int, gap: float, reach: int) -> list[list[int]]:
     """Chains of matches (x[i], y[i]), increasing in both: score k a match less ``gap`` a word skipped on either side.
 
-    Matches are visited by x; the tree over ranks of y gives the best predecessor.  A link over more than ``reach``
-    words on a side ends a chain.  Every match is in one chain; chains come as lists of indices in order.
+    Matches are visited by x.  The best predecessor is sought among those at most ``reach`` words back on both sides, so a
+    link never spans more and a better match farther back hides none; their number is bounded by ``reach``, not by the
+    matches.  Every match is in one chain; chains come as lists of indices in order.
     """
     order = np.lexsort((y, x))
-    ranks = np.unique(y)
-    rank = np.searchsorted(ranks, y)
-    tree = Fenwick(len(ranks))
     score, parent = {}, {}
-    pending: list[tuple[int, float]] = []
-    last_x = None
+    near: deque[tuple[int, list[int], list[tuple[float, int]]]] = deque()  # by x: its ys, ascending, and value and owner of each
+    last_x, ys, values = None, [], []
     for i in order.tolist():
         xi, yi = int(x[i]), int(y[i])
         if xi != last_x:  # matches of one x can't precede each other
-            for j, v in pending:
-                tree.put(int(rank[j]), v, j)
-            pending, last_x = [], xi
-        v, j = tree.get(int(rank[i]))
+            if last_x is not None:
+                near.append((last_x, ys, values))
+            while near and xi - near[0][0] > reach:
+                near.popleft()
+            last_x, ys, values = xi, [], []
+        v, j = -1e18, -1
+        for _, ats, owners in near:
+            for at in range(bisect_left(ats, yi - reach), bisect_left(ats, yi)):
+                if owners[at][0] > v:
+                    v, j = owners[at]
         s, p = float(k), -1
-        if j >= 0 and xi - int(x[j]) <= reach and yi - int(y[j]) <= reach:
+        if j >= 0:
             better = k + v - gap * (xi + yi)
             if better > s:
                 s, p = better, j
         score[i], parent[i] = s, p
-        pending.append((i, s + gap * (xi + yi)))
+        ys.append(yi)
+        values.append((s + gap * (xi + yi), i))
     out, used = [], set()
     for i in sorted(score, key=lambda i: (-score[i], int(x[i]))):
         if i in used:

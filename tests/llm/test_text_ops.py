@@ -211,6 +211,18 @@ def test_passage_whose_halves_came_first_elsewhere(spark):
     assert {(x.doc_id, x.of_doc_id) for x in got} == {(4, 3)}
 
 
+def test_passages_far_apart(spark):
+    """A second long passage behind an insertion that no link spans is found like the first."""
+    r = random.Random(15)
+    docs, want = [], set()
+    for k, (one, gap, two) in enumerate([(200, 80, 100), (400, 100, 400), (800, 150, 800)]):
+        a, b = prose(one, r).split(), prose(two, r).split()
+        docs += [(10 * k, " ".join(a + b)), (10 * k + 1, " ".join(a + prose(gap, r).split() + b))]
+        want |= {(10 * k + 1, 0, one), (10 * k + 1, one + gap, one + gap + two)}
+    got = passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {(x.doc_id, x.start, x.end) for x in got} == want
+
+
 def test_passages_stutter(spark):
     """Texts that repeat one word, or themselves, are matched too."""
     docs = [(1, prose(30) + " of" * 120), (2, "of " * 90 + prose(30))]
