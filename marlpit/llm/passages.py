@@ -4,8 +4,9 @@ Texts become sequences of word hashes.  Seeds are minimisers: of every ``window`
 smallest hash, so that two documents that share ``window + k - 1`` words in a row share a seed.  A seed that several
 documents hold pairs each of them with the first that holds it, and if few do with the one before it, which keeps matches
 proportional to seeds however common a passage is.  The matches of a pair are chained: collinear, with a cost for the
-gaps, best predecessor within reach.  Chains are then aligned on the words: exact between seeds where they agree, by a banded alignment where they
-don't, and extended at both ends.  Of equal texts only the first takes part; the others are reported as copies of it.
+gaps, best predecessor within reach.  All chains, however few their seeds, are then aligned on the words: exact between
+seeds where they agree, by an alignment where they don't, and by a banded one beyond both ends; one with too many edits is
+cut at its worst link.  Of equal texts only the first takes part; the others are reported as copies of it.
 """
 
 from __future__ import annotations
@@ -135,40 +136,91 @@ def edit_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def extend(a: np.ndarray, b: np.ndarray, drop: int = 8) -> int:
-    """How far two sequences agree from their starts: +1 a word, -2 a difference, given up ``drop`` below the best."""
+def extend(a: np.ndarray, b: np.ndarray, cost: int = 2, drop: int = 12, band: int = 24) -> tuple[int, int, int]:
+    """How far two sequences agree from their starts, (words of a, words of b, edits): +1 a word, -``cost`` an edit
+    (change, insertion or deletion, at most ``band`` more of one kind than of the other), given up ``drop`` below the best."""
     n = min(len(a), len(b))
-    if not n:
-        return 0
-    s = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
-    top = np.maximum.accumulate(np.maximum(s, 0))
-    low = np.flatnonzero(top - s > drop)
-    stop = int(low[0]) if len(low) else n
-    if not stop:
-        return 0
-    k = int(np.argmax(s[:stop]))
-    return k + 1 if s[k] > 0 else 0
-
-
-def align(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, k: int, band: int = 64) -> tuple[int, int, int, int, int]:
-    """(start, end) in a and in b and the edits of the passage that the chain ``seeds`` (places in a and b) marks."""
-    edits, (pa_, pb) = 0, seeds[0]
-    right_a, right_b = int(pa_) + k, int(pb) + k
-    for sa, sb in seeds[1:].tolist():
-        ga, gb = a[right_a : max(sa, right_a)], b[right_b : max(sb, right_b)]
-        if len(ga) or len(gb):
-            if len(ga) == len(gb) and (ga == gb).all():
-                pass
-            elif not len(ga) or not len(gb):
-                edits += len(ga) + len(gb)
-            else:
-                edits += edit_words(ga, gb)
-        right_a, right_b = max(right_a, sa + k), max(right_b, sb + k)
-    more = extend(a[right_a:], b[right_b:])
-    edits += int((a[right_a : right_a + more] != b[right_b : right_b + more]).sum())
-    left = extend(a[: int(pa_)][::-1], b[: int(pb)][::-1])
-    edits += int((a[int(pa_) - left : int(pa_)] != b[int(pb) - left : int(pb)]).sum())
-    return int(pa_) - left, right_a + more, int(pb) - left, right_b + more, edits
+    same = a[:n] == b[:n]
+    d = n if same.all() else int(np.argmin(same))  # equal starts need no table
+    best, out = d, (d, d, 0)
+    x, y = a[d:], b[d:]
+    if not len(x) or not len(y):
+        return out
+    # Rows by words of x; cells by diagonal, (words of y) - (words of x) + band.
+    far = -(10**6)
+    diagonal = np.arange(2 * band + 1) - band
+    run = cost * np.arange(2 * band + 1)
+    score = np.where(diagonal >= 0, d - cost * diagonal, far)
+    edits = np.where(diagonal >= 0, diagonal, 0)
+    for i in range(min(len(x), len(y) + band)):
+        j = i + diagonal
+        inside = (j >= 0) & (j < len(y))
+        hit = inside & (y[np.clip(j, 0, len(y) - 1)] == x[i])
+        step = np.where(inside, score + np.where(hit, 1, -cost), far)
+        count = edits + ~hit
+        skip = np.append(score[1:] - cost, far)  # a word of x without partner, from the next diagonal
+        skip[(j < -1) | (j >= len(y))] = far
+        take = skip > step
+        step, count = np.where(take, skip, step), np.where(take, np.append(edits[1:] + 1, 0), count)
+        low = np.maximum.accumulate(step + run)  # words of y without partner, along the row
+        from_ = np.maximum.accumulate(np.where(step + run == low, np.arange(len(run)), 0))
+        reached = np.where((j >= -1) & (j < len(y)), low - run, far)
+        score, edits = reached, count[from_] + np.arange(len(run)) - from_
+        at = int(np.argmax(score))
+        if score[at] > best:
+            best, out = int(score[at]), (d + i + 1, d + int(j[at]) + 1, int(edits[at]))
+        if score[at] < best - drop:
+            break
+    return out
+
+
+def room(hit: np.ndarray, start: int, end: int, least: int, worst: float) -> bool:
+    """Whether any stretch of ``least`` words around ``start``..``end`` has at most ``worst`` words a word that aren't ``hit``:
+    words that the other side lacks are edits, so no alignment can pass where this fails."""
+    g = np.concatenate(([0.0], np.cumsum(hit - (1 - worst)))) + 1e-9 * (np.arange(len(hit) + 1) > start)
+    high = np.maximum.accumulate(g[::-1])[::-1]
+    at = np.maximum(np.arange(start + 1) + least, end)
+    at = at[at < len(g)]
+    return bool((high[at] >= g[: len(at)]).any())
+
+
+def passages_of(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, k: int, least: int, worst: float) -> list[tuple[int, int, int, int, int]]:
+    """(start, end) in a and in b and the edits of the passages that the chain ``seeds`` (places in a and b) marks, of at
+    least ``least`` words and at most ``worst`` edits a word.  A chain with too many edits is cut at its worst link."""
+    right = np.maximum.accumulate(seeds + k)
+    if min(len(a), len(b)) < least:
+        return []
+    hit_a, hit_b = np.isin(a, b), np.isin(b, a)
+    link = []
+    for (ra, rb), (sa, sb) in zip(right[:-1].tolist(), seeds[1:].tolist(), strict=True):
+        ga, gb = a[ra : max(sa, ra)], b[rb : max(sb, rb)]
+        # seeds that overlap by different lengths skip words on one side
+        shift = abs(max(sa, ra) - sa - (max(sb, rb) - sb))
+        link.append(shift + (edit_words(ga, gb) if len(ga) and len(gb) else len(ga) + len(gb)))
+    link = np.array(link, dtype=np.int64)
+    out, work = [], [(0, len(seeds))]
+    while work:
+        s, e = work.pop()
+        pa_, pb = seeds[s].tolist()
+        ra, rb = right[e - 1].tolist()
+        inner = int(link[s : e - 1].sum())
+        if not inner and not (room(hit_b, pb, rb, least, worst) and room(hit_a, pa_, ra, least, worst)):
+            continue
+        for cost, drop in ((2, 12), (4, 20)):  # at 4 an extension is within a fifth of edits by itself
+            la, lb, le = extend(a[:pa_][::-1], b[:pb][::-1], cost, drop)
+            ma, mb, me = extend(a[ra:], b[rb:], cost, drop)
+            found = (pa_ - la, ra + ma, pb - lb, rb + mb, inner + le + me)
+            long = min(found[1] - found[0], found[3] - found[2]) >= least
+            if long and found[4] <= worst * max(found[1] - found[0], found[3] - found[2]):
+                out.append(found)
+                break
+            if not long and not inner:  # dearer edits only make it shorter
+                break
+        else:
+            if inner:
+                cut = s + 1 + int(np.argmax(link[s : e - 1]))
+                work += [(s, cut), (cut, e)]
+    return out
 
 
 def _cuts(*keys: np.ndarray) -> np.ndarray:
@@ -178,7 +230,7 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [len(keys[0])]))
 
 
-def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_words: int = 50, identity: float = 0.8, gap: float = 0.15, reach: int = 60, slack: int = 80, rare: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_words: int = 50, identity: float = 0.8, gap: float = 0.04, reach: int = 60, slack: int = 80, rare: int = 50) -> DataFrame:
     """``(doc_id, start, end, of_doc_id, of_start, of_end, edits, kind)``: passages that repeat an earlier document's.
 
     Places count words (split at ASCII blanks, A-Z lower-cased).  ``kind`` is ``copy`` for a text that equals that of a
@@ -230,9 +282,8 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
             for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 x, y = rows[s:e, 2], rows[s:e, 3]
                 for c in chains(x, y, k, gap, reach):
-                    # a chain may still reach the length by what stretches beyond its seeds
-                    if max(x[c[-1]] - x[c[0]], y[c[-1]] - y[c[0]]) + k + 2 * (window + k) >= least_words:
-                        out.append((int(rows[s, 0]), int(rows[s, 1]), np.column_stack((x[c], y[c])).astype(np.int32).tobytes(), int(x[c[0]]), int(y[c[0]]), int(x[c[-1]]), int(y[c[-1]])))
+                    # however few its seeds, the alignment decides how far a chain stretches
+                    out.append((int(rows[s, 0]), int(rows[s, 1]), np.column_stack((x[c], y[c])).astype(np.int32).tobytes(), int(x[c[0]]), int(y[c[0]]), int(x[c[-1]]), int(y[c[-1]])))
             types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)], names=["b", "a", "seeds", "b0", "a0", "b1", "a1"])
 
@@ -281,13 +332,30 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
             out = []
             for a, b, seeds, a_at, aw, b_at, bw in zip(*(t.column(i).to_pylist() for i in range(7)), strict=True):
                 s = np.frombuffer(seeds, dtype=np.int32).reshape(-1, 2).astype(np.int64) - np.array([b_at, a_at])
-                s0, e0, s1, e1, edits = align(np.frombuffer(bw, dtype=np.uint32), np.frombuffer(aw, dtype=np.uint32), s, k)
-                if min(e0 - s0, e1 - s1) >= least_words and edits <= (1 - identity) * max(e0 - s0, e1 - s1):
-                    out.append((b, s0 + b_at, e0 + b_at, a, s1 + a_at, e1 + a_at, edits))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=x) for i, x in enumerate(types)], names=["doc_id", "start", "end", "of_doc_id", "of_start", "of_end", "edits"])
-
-    passage = ready.mapInArrow(finish, "doc_id long, start int, end int, of_doc_id long, of_start int, of_end int, edits int").distinct()
+                for s0, e0, s1, e1, edits in passages_of(np.frombuffer(bw, dtype=np.uint32), np.frombuffer(aw, dtype=np.uint32), s, k, least_words, 1 - identity):
+                    out.append((b, s0 + b_at, e0 + b_at, a, s1 + a_at, e1 + a_at, edits, bool((s[-1] - s[0]).max() + k + 2 * (window + k) < least_words)))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=x) for i, x in enumerate(types)], names=["doc_id", "start", "end", "of_doc_id", "of_start", "of_end", "edits", "faint"])
+
+    passage = ready.mapInArrow(finish, "doc_id long, start int, end int, of_doc_id long, of_start int, of_end int, edits int, faint boolean").distinct()
+    # Several chains may mark one passage.  Rows within another of the pair on both sides go, and so do those of a faint
+    # chain (few seeds, close together) of which other rows of the document leave fewer than k words uncovered.
+    passage = passage.repartition("doc_id").sortWithinPartitions("doc_id", "faint", "start", F.desc("end"), "of_doc_id", "of_start", F.desc("of_end"), "edits")
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, kept = None, []
+        for t in batches:
+            keep = []
+            for b, s, e, a, s1, e1, faint in zip(*(t.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 7)), strict=True):
+                if doc != b:
+                    doc, kept = b, []
+                within = any((a == o[2] and o[0] <= s and e <= o[1] and o[3] <= s1 and e1 <= o[4]) or (faint and e - s - min(e, o[1]) + max(s, o[0]) < k) for o in kept)
+                keep.append(not within)
+                if not within:
+                    kept.append((s, e, a, s1, e1))
+            yield t.filter(pa.array(keep, type=pa.bool_())).select(t.schema.names[:7])
+
+    passage = passage.mapInArrow(outer, "doc_id long, start int, end int, of_doc_id long, of_start int, of_end int, edits int")
     return copies.unionByName(passage.withColumn("kind", F.lit("passage")))
 
 

@@ -223,6 +223,40 @@ def test_passages_far_apart(spark):
     assert {(x.doc_id, x.start, x.end) for x in got} == want
 
 
+def test_passages_with_edits(spark):
+    """One word in eleven is changed, inserted or left out in turn, and two passages have a stretch of their own between."""
+    r = random.Random(16)
+    docs, want = [], set()
+    for k in range(12):
+        w = prose(110, r).split()
+        v = [x for i, y in enumerate(w) for x in ([y] if i % 11 != 5 else [[prose(1, r)], [y, prose(1, r)], []][i // 11 % 3])]
+        docs += [(2 * k, " ".join([prose(60, r), *w, prose(60, r)])), (2 * k + 1, " ".join([prose(50, r), *v, prose(70, r)]))]
+        want.add((2 * k + 1, 2 * k))
+    a, b = prose(55, r), prose(55, r)
+    docs += [(100, f"{a} {b}"), (101, f"{a} {prose(45, r)} {b}")]
+    got = passages.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()
+    assert {(x.doc_id, x.of_doc_id) for x in got if x.doc_id < 100} == want
+    assert all(x.end - x.start >= 95 for x in got if x.doc_id < 100)
+    assert {(x.start, x.end) for x in got if x.doc_id == 101} == {(0, 55), (100, 155)}
+
+
+def test_extend_against_table():
+    r = random.Random(17)
+    for _ in range(200):
+        a = [r.randrange(4) for _ in range(r.randrange(14))]
+        b = [x for x in a if r.random() < 0.8] + [r.randrange(4) for _ in range(r.randrange(3))]
+        for cost in (2, 4):
+            best = {}
+            for i in range(len(a) + 1):
+                for j in range(len(b) + 1):
+                    ways = [best[i - 1, j] - cost] if i else []
+                    ways += [best[i, j - 1] - cost] if j else []
+                    ways += [best[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -cost)] if i and j else []
+                    best[i, j] = max(ways, default=0)
+            x, y, edits = passages.extend(np.array(a), np.array(b), cost, 10**5)
+            assert best[x, y] == max(best.values()) and passages.edit_words(np.array(a[:x]), np.array(b[:y])) <= edits
+
+
 def test_passages_stutter(spark):
     """Texts that repeat one word, or themselves, are matched too."""
     docs = [(1, prose(30) + " of" * 120), (2, "of " * 90 + prose(30))]
