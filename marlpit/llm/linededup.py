@@ -89,6 +89,22 @@ def repeated(earlier: Sequence[int], later: Sequence[int], words: Sequence[int],
     return out
 
 
+def run_keys(hashes: Sequence[int], words: Sequence[int], least_words: int) -> np.ndarray:
+    """Hashes of the shortest runs of two or more consecutive lines with ``least_words`` words, one from each line with words."""
+    out, j, size = set(), 0, 0
+    h = np.asarray(hashes, dtype=np.int64)
+    for i, n in enumerate(words):
+        while j < len(words) and size < least_words:
+            size += words[j]
+            j += 1
+        if size < least_words:
+            break
+        if n and j - i > 1:
+            out.add(xxhash.xxh3_64_intdigest(h[i:j].tobytes(), 7))
+        size -= n
+    return np.array(sorted(out), dtype=np.uint64).view(np.int64)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, th, lines array<long>, words array<int>)``; null text: no lines."""
 
@@ -133,7 +149,17 @@ def find_repeats(docs: DataFrame, *, least_words: int = 8, rare: int = 50) -> Da
     held = common.materialise(common.join_first(line, shared, "h", total), "line-shared")
     star = held.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     step = held.where(F.col("df").between(3, rare)).withColumn("a", F.lag("doc_id").over(W.partitionBy("h").orderBy("doc_id"))).where("a is not null").select("a", F.col("doc_id").alias("b"))
-    pairs = star.unionByName(step).distinct()
+    # A block of short lines whose lines first came apart: each shortest run that reaches the length pairs with its first holder.
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [run_keys(h, w, least_words) for h, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+    block = common.materialise(reps.select("doc_id", "lines", "words").mapInArrow(runs, "doc_id long, keys array<long>").select("doc_id", F.explode("keys").alias("h")), "line-runs")
+    begun = common.materialise(block.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"), "line-runs-first")
+    whole = common.join_first(block, begun, "h", total).where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    pairs = star.unionByName(step).unionByName(whole).distinct()
     left = reps.select(F.col("doc_id").alias("a"), F.col("lines").alias("la"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("lines").alias("lb"), "words")
 

@@ -211,6 +211,15 @@ def test_passage_whose_halves_came_first_elsewhere(spark):
     assert {(x.doc_id, x.of_doc_id) for x in got} == {(4, 3)}
 
 
+def test_block_whose_lines_came_first_elsewhere(spark):
+    """Two short lines, each common and first seen in a document of its own, are cut where the block was seen before."""
+    one, two = "alpha beta gamma delta", "kappa lambda omega sigma"
+    docs = [(1, f"{one}\nx1"), (2, f"{two}\nx2"), (3, f"y3\n{one}\n{two}\nz3")]
+    docs += [(k, f"{(one, two)[k % 2]}\nx{k}") for k in range(4, 130)] + [(200, f"u\n{one}\n{two}\nv")]
+    got = {x.doc_id: x.removed for x in linededup.find_repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[200] == [1, 2] and not any(v for d, v in got.items() if d != 200)
+
+
 def test_passages_far_apart(spark):
     """A second long passage behind an insertion that no link spans is found like the first."""
     r = random.Random(15)
