@@ -2,11 +2,12 @@
 
 Texts become sequences of word hashes.  Seeds are minimisers: of every ``window`` consecutive k-mers the one with the
 smallest hash, so that two documents that share ``window + k - 1`` words in a row share a seed.  A seed that several
-documents hold pairs each of them with the first that holds it, and if few do with the one before it, which keeps matches
+documents hold pairs each of them with the first that holds it and with the one before it, which keeps matches
 proportional to seeds however common a passage is.  The matches of a pair are chained: collinear, with a cost for the
 gaps, best predecessor within reach.  All chains, however few their seeds, are then aligned on the words: exact between
-seeds where they agree, by an alignment where they don't, and by a banded one beyond both ends; one with too many edits is
-cut at its worst link.  Of equal texts only the first takes part; the others are reported as copies of it.
+seeds where they agree, by an alignment where they don't, and by a banded one beyond both ends, many chains in one table;
+one with too many edits is cut at its worst link.  Of equal texts only the first takes part; the others are reported as
+copies of it.
 """
 
 from __future__ import annotations
@@ -174,55 +175,124 @@ def extend(a: np.ndarray, b: np.ndarray, cost: int = 2, drop: int = 12, band: in
     return out
 
 
-def room(hit: np.ndarray, start: int, end: int, least: int, worst: float) -> bool:
-    """Whether any stretch of ``least`` words around ``start``..``end`` has at most ``worst`` words a word that aren't ``hit``:
-    words that the other side lacks are edits, so no alignment can pass where this fails."""
-    g = np.concatenate(([0.0], np.cumsum(hit - (1 - worst)))) + 1e-9 * (np.arange(len(hit) + 1) > start)
-    high = np.maximum.accumulate(g[::-1])[::-1]
-    at = np.maximum(np.arange(start + 1) + least, end)
-    at = at[at < len(g)]
-    return bool((high[at] >= g[: len(at)]).any())
-
-
-def passages_of(a: np.ndarray, b: np.ndarray, seeds: np.ndarray, k: int, least: int, worst: float) -> list[tuple[int, int, int, int, int]]:
-    """(start, end) in a and in b and the edits of the passages that the chain ``seeds`` (places in a and b) marks, of at
-    least ``least`` words and at most ``worst`` edits a word.  A chain with too many edits is cut at its worst link."""
-    right = np.maximum.accumulate(seeds + k)
-    if min(len(a), len(b)) < least:
-        return []
-    hit_a, hit_b = np.isin(a, b), np.isin(b, a)
-    link = []
-    for (ra, rb), (sa, sb) in zip(right[:-1].tolist(), seeds[1:].tolist(), strict=True):
-        ga, gb = a[ra : max(sa, ra)], b[rb : max(sb, rb)]
-        # seeds that overlap by different lengths skip words on one side
-        shift = abs(max(sa, ra) - sa - (max(sb, rb) - sb))
-        link.append(shift + (edit_words(ga, gb) if len(ga) and len(gb) else len(ga) + len(gb)))
-    link = np.array(link, dtype=np.int64)
-    out, work = [], [(0, len(seeds))]
+def prefix_edits(xs: list[np.ndarray], ys: list[np.ndarray], most: np.ndarray, band: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair and each i: the least edits between x[:i] and any start of y, and the length of that start.
+
+    All pairs go through one banded table, row by row (diagonals by pairs); a pair that needs more than ``most`` edits
+    leaves it.  Edits beyond that, and beyond a pair's own length, are given as a large number.
+    """
+    n, long = len(xs), max((len(x) for x in xs), default=0)
+    big = 1 << 13
+    edits, reach = np.full((n, long + 1), big, dtype=np.int16), np.zeros((n, long + 1), dtype=np.int16)
+    edits[:, 0] = 0
+    width = 2 * band + 1
+    x_of, y_of = np.full((long, n), -1, dtype=np.int64), np.full((long + width, n), -2, dtype=np.int64)
+    for c, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        x_of[: len(x), c] = x
+        y = y[: long + band]
+        y_of[band : band + len(y), c] = y
+    size, room = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+    run = np.arange(width, dtype=np.int16)[:, None]
+    cost = np.repeat(np.where(run >= band, run - band, big).astype(np.int16), n, axis=1)
+    live = np.arange(n)
+    for i in range(long):
+        new = cost + (y_of[i : i + width] != x_of[i])
+        np.minimum(new[:-1], cost[1:] + 1, out=new[:-1])  # a word of x without partner, from the next diagonal
+        new -= run
+        np.minimum.accumulate(new, axis=0, out=new)  # words of y without partner, along the row
+        new += run
+        cost = new.astype(np.int16, copy=False)
+        at = cost.argmin(axis=0)
+        edits[live, i + 1] = cost[at, np.arange(len(live))]
+        reach[live, i + 1] = np.minimum(i + 1 + at - band, room[live])
+        if i % 8 == 7 or i + 1 == long:
+            keep = (edits[live, i + 1] <= most[live]) & (size[live] > i + 1)
+            if not keep.all():
+                live, x_of, y_of, cost = live[keep], x_of[:, keep], y_of[:, keep], cost[:, keep]
+                if not len(live):
+                    break
+    edits[np.arange(long + 1)[None] > size[:, None]] = big
+    return edits, reach
+
+
+def passages_of(chains: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int, least: int, worst: float, slack: int = 80, batch: int = 1024) -> list[list[tuple[int, int, int, int, int]]]:
+    """Of each chain (words of a, words of b, seeds as places in a and b): (start, end) in a and in b and the edits of the
+    passages it marks, of at least ``least`` words and at most ``worst`` edits a word.
+
+    A chain is extended on both sides by score; if that gives no passage, the stretch around it that is farthest within
+    the bounds is taken, so that every chain that lies in a passage gives one (within ``slack`` words of its ends).  A
+    chain with too many edits inside is cut at its worst link.
+    """
+    out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in chains]
+    rights, links, work = [], [], []
+    for c, (a, b, seeds) in enumerate(chains):
+        right = np.maximum.accumulate(seeds + k)
+        link = []
+        for (ra, rb), (sa, sb) in zip(right[:-1].tolist(), seeds[1:].tolist(), strict=True):
+            ga, gb = a[ra : max(sa, ra)], b[rb : max(sb, rb)]
+            # seeds that overlap by different lengths skip words on one side
+            shift = abs(max(sa, ra) - sa - (max(sb, rb) - sb))
+            link.append(shift + (edit_words(ga, gb) if len(ga) and len(gb) else len(ga) + len(gb)))
+        rights.append(right)
+        links.append(np.array(link, dtype=np.int64))
+        if min(len(a), len(b)) >= least:
+            work.append((c, 0, len(seeds)))
     while work:
-        s, e = work.pop()
-        pa_, pb = seeds[s].tolist()
-        ra, rb = right[e - 1].tolist()
-        inner = int(link[s : e - 1].sum())
-        if not inner and not (room(hit_b, pb, rb, least, worst) and room(hit_a, pa_, ra, least, worst)):
-            continue
-        for cost, drop in ((2, 12), (4, 20)):  # at 4 an extension is within a fifth of edits by itself
-            la, lb, le = extend(a[:pa_][::-1], b[:pb][::-1], cost, drop)
-            ma, mb, me = extend(a[ra:], b[rb:], cost, drop)
-            found = (pa_ - la, ra + ma, pb - lb, rb + mb, inner + le + me)
-            long = min(found[1] - found[0], found[3] - found[2]) >= least
-            if long and found[4] <= worst * max(found[1] - found[0], found[3] - found[2]):
-                out.append(found)
-                break
-            if not long and not inner:  # dearer edits only make it shorter
-                break
-        else:
-            if inner:
-                cut = s + 1 + int(np.argmax(link[s : e - 1]))
-                work += [(s, cut), (cut, e)]
+        now, work = work[:batch], work[batch:]
+        a_of, b_of = ([chains[c][side] for c, _, _ in now] for side in (0, 1))
+        left = np.array([chains[c][2][s] for c, s, _ in now])
+        right = np.array([rights[c][e - 1] for c, _, e in now])
+        inner = np.array([links[c][s : e - 1].sum() for c, s, e in now])
+        span = right - left
+        # Insertions lengthen one side, so edits a word of a may be more by that share.
+        loose = worst / (1 - worst)
+        most = loose * (span[:, 0] + 2 * slack) - inner
+        el, jl = prefix_edits([a[max(0, p - slack) : p][::-1] for a, p in zip(a_of, left[:, 0].tolist(), strict=True)], [b[max(0, p - slack - 24) : p][::-1] for b, p in zip(b_of, left[:, 1].tolist(), strict=True)], most)
+        er, jr = prefix_edits([a[p : p + slack] for a, p in zip(a_of, right[:, 0].tolist(), strict=True)], [b[p : p + slack + 24] for b, p in zip(b_of, right[:, 1].tolist(), strict=True)], most)
+        spare = np.maximum.accumulate((loose * np.arange(er.shape[1]) - er)[:, ::-1], axis=1)[:, ::-1]  # best of all longer ones
+        still = np.maximum(0, least - span[:, :1] - np.arange(el.shape[1])[None])
+        spare = np.where(still < er.shape[1], np.take_along_axis(spare, np.minimum(still, er.shape[1] - 1), 1), -1e6)
+        able = (loose * np.arange(el.shape[1]) - el + spare).max(axis=1) + loose * span[:, 0] - inner >= 0
+        for i, (c, s, e) in enumerate(now):
+            if able[i]:
+                found = _extended(a_of[i], b_of[i], left[i], right[i], int(inner[i]), least, worst) or _farthest(left[i], right[i], int(inner[i]), el[i], jl[i], er[i], jr[i], least, worst)
+                if found:
+                    out[c].append(found)
+                    continue
+            if inner[i]:
+                cut = s + 1 + int(np.argmax(links[c][s : e - 1]))
+                work += [(c, s, cut), (c, cut, e)]
     return out
 
 
+def _extended(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, inner: int, least: int, worst: float) -> tuple[int, int, int, int, int] | None:
+    """The stretch from ``left`` to ``right`` extended by score, if it is a passage."""
+    (pa_, pb), (ra, rb) = left.tolist(), right.tolist()
+    for cost, drop in ((2, 12), (4, 20)):  # at 4 an extension is within a fifth of edits by itself
+        la, lb, le = extend(a[:pa_][::-1], b[:pb][::-1], cost, drop)
+        ma, mb, me = extend(a[ra:], b[rb:], cost, drop)
+        found = (pa_ - la, ra + ma, pb - lb, rb + mb, inner + le + me)
+        if min(found[1] - found[0], found[3] - found[2]) < least:
+            return None
+        if found[4] <= worst * max(found[1] - found[0], found[3] - found[2]):
+            return found
+    return None
+
+
+def _farthest(left: np.ndarray, right: np.ndarray, inner: int, el: np.ndarray, jl: np.ndarray, er: np.ndarray, jr: np.ndarray, least: int, worst: float) -> tuple[int, int, int, int, int] | None:
+    """Of all extensions to at least ``least`` words on both sides the one with the most words to spare under ``worst``."""
+    span_a, span_b = (right - left).tolist()
+    long_a = span_a + np.arange(len(el))[:, None] + np.arange(len(er))[None]
+    long_b = span_b + jl[:, None].astype(np.int64) + jr[None]
+    edits = inner + el[:, None].astype(np.int64) + er[None]
+    spare = np.where(np.minimum(long_a, long_b) >= least, worst * np.maximum(long_a, long_b) - edits, -1.0)
+    if spare.max() < 0:
+        return None
+    i, j = divmod(int(spare.argmax()), len(er))
+    (pa_, pb), (ra, rb) = left.tolist(), right.tolist()
+    return pa_ - i, ra + j, pb - int(jl[i]), rb + int(jr[j]), int(edits[i, j])
+
+
 def _cuts(*keys: np.ndarray) -> np.ndarray:
     change = np.zeros(len(keys[0]) - 1, dtype=bool)
     for key in keys:
@@ -230,13 +300,14 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(change) + 1, [len(keys[0])]))
 
 
-def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_words: int = 50, identity: float = 0.8, gap: float = 0.04, reach: int = 60, slack: int = 80, rare: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_words: int = 50, identity: float = 0.8, gap: float = 0.04, reach: int = 60, slack: int = 80, rare: int = 50) -> DataFrame:
     """``(doc_id, start, end, of_doc_id, of_start, of_end, edits, kind)``: passages that repeat an earlier document's.
 
     Places count words (split at ASCII blanks, A-Z lower-cased).  ``kind`` is ``copy`` for a text that equals that of a
     smaller doc_id (the whole text, whatever its length; the first such row stands for all) and ``passage`` for a stretch
     of at least ``least_words`` words on both sides that is within ``1 - identity`` edits a word of a stretch of a
-    document with a smaller id.  Null and blank texts give no rows, a null doc_id takes no part, rows that agree in id
+    document with a smaller id.  ``rare`` only decides how a seed's holders are put in
+    order and which rows give way to others of the same words.  Null and blank texts give no rows, a null doc_id takes no part, rows that agree in id
     and text count once, of rows that share an id with different texts one (the smallest text hash) takes part.  An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -267,12 +338,19 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
     start = common.materialise(start.select("g", F.col("f.doc_id").alias("a"), F.col("f.p").alias("ap"), "df"), "pass-first")
     total = rows.agg(F.sum(F.size("g"))).first()[0] or 0
     held = common.materialise(common.join_first(sole, start, "g", total), "pass-held")
-    match = held.where("doc_id > a").select(F.col("doc_id").alias("b"), "a", F.col("p").alias("bp"), "ap")
-    # A rarer seed also pairs each document with the one before it: parts of a passage may have first come apart.
-    once = held.where(F.col("df").between(3, rare)).groupBy("g", "doc_id").agg(F.min("p").alias("p"))
-    order = W.partitionBy("g").orderBy("doc_id")
-    step = once.select(F.col("doc_id").alias("b"), F.lag("doc_id").over(order).alias("a"), F.col("p").alias("bp"), F.lag("p").over(order).alias("ap")).where("a is not null")
-    match = match.unionByName(step).distinct()
+    match = held.where("doc_id > a").select(F.col("doc_id").alias("b"), "a", F.col("p").alias("bp"), "ap", F.lit(0).alias("late"))
+    # A seed also pairs each document with the one before it that holds it: parts of a passage may have first come apart.
+    # Those of a common seed are put in order by ranges of doc_id, and each range's first follows the last of the one before.
+    once = held.groupBy("g", "doc_id").agg(F.min("p").alias("p"), F.max("df").alias("df"), F.max("a").alias("first")).where("df >= 3")
+    cuts = [int(x) for x in rows.approxQuantile("doc_id", [i / 256 for i in range(1, 256)], 0.001)] if total else []
+    once = once.withColumn("part", F.when(F.col("df") > rare, F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("doc_id")))).otherwise(0) if cuts else F.lit(0))
+    order = W.partitionBy("g", "part").orderBy("doc_id")
+    near = once.select("g", "df", "first", F.col("doc_id").alias("b"), F.lag("doc_id").over(order).alias("a"), F.col("p").alias("bp"), F.lag("p").over(order).alias("ap"), "part")
+    ends = once.where(F.col("df") > rare).groupBy("g", "part").agg(F.min(F.struct("doc_id", "p")).alias("low"), F.max(F.struct("doc_id", "p")).alias("high"), F.max("df").alias("df"), F.max("first").alias("first"))
+    over = W.partitionBy("g").orderBy("part")
+    ends = ends.select("g", "df", "first", F.col("low.doc_id").alias("b"), F.lag("high.doc_id").over(over).alias("a"), F.col("low.p").alias("bp"), F.lag("high.p").over(over).alias("ap"), "part")
+    step = near.unionByName(ends).where("a is not null and a <> first").select("b", "a", "bp", "ap", F.when(F.col("df") > rare, 1).otherwise(0).alias("late"))
+    match = match.unionByName(step).groupBy("b", "a", "bp", "ap").agg(F.min("late").alias("late"))
     match = match.repartition("b", "a").sortWithinPartitions("b", "a", "bp", "ap")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,15 +361,15 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
                 x, y = rows[s:e, 2], rows[s:e, 3]
                 for c in chains(x, y, k, gap, reach):
                     # however few its seeds, the alignment decides how far a chain stretches
-                    out.append((int(rows[s, 0]), int(rows[s, 1]), np.column_stack((x[c], y[c])).astype(np.int32).tobytes(), int(x[c[0]]), int(y[c[0]]), int(x[c[-1]]), int(y[c[-1]])))
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)], names=["b", "a", "seeds", "b0", "a0", "b1", "a1"])
+                    out.append((int(rows[s, 0]), int(rows[s, 1]), np.column_stack((x[c], y[c])).astype(np.int32).tobytes(), int(x[c[0]]), int(y[c[0]]), int(x[c[-1]]), int(y[c[-1]]), bool(rows[s:e, 4][c].all())))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)], names=["b", "a", "seeds", "b0", "a0", "b1", "a1", "late"])
 
         held: list[np.ndarray] = []
         for t in batches:
             if not t.num_rows:
                 continue
-            rows = np.column_stack([t.column(i).to_numpy().astype(np.int64) for i in range(4)])
+            rows = np.column_stack([t.column(i).to_numpy().astype(np.int64) for i in range(5)])
             if held and (held[-1][-1, :2] != rows[0, :2]).any():
                 yield done(np.concatenate(held))
                 held = []
@@ -303,7 +381,7 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
         if held:
             yield done(np.concatenate(held))
 
-    found = match.mapInArrow(chain, "b long, a long, seeds binary, b0 int, a0 int, b1 int, a1 int")
+    found = match.mapInArrow(chain, "b long, a long, seeds binary, b0 int, a0 int, b1 int, a1 int, late boolean")
     found = common.materialise(found.withColumn("id", F.xxhash64("b", "a", "seeds")), "pass-chains")
     # Each side asks for its stretch of words; a document's requests come in batches, so that a common one isn't one task.
     ask = found.select("id", "a", "b", "b0", "a0", "b1", "a1")
@@ -325,21 +403,24 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 12, least_wo
 
     piece = raw.join(ask, "doc_id").select("text", "asks").mapInArrow(cut_out, "id long, side int, at int, words binary")
     both = piece.groupBy("id").pivot("side", [0, 1]).agg(F.min(F.struct("at", "words")))
-    ready = found.join(both, "id").select("a", "b", "seeds", F.col("0.at").alias("a_at"), F.col("0.words").alias("a_words"), F.col("1.at").alias("b_at"), F.col("1.words").alias("b_words"))
+    ready = found.join(both, "id").select("a", "b", "seeds", "late", F.col("0.at").alias("a_at"), F.col("0.words").alias("a_words"), F.col("1.at").alias("b_at"), F.col("1.words").alias("b_words"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            out = []
-            for a, b, seeds, a_at, aw, b_at, bw in zip(*(t.column(i).to_pylist() for i in range(7)), strict=True):
-                s = np.frombuffer(seeds, dtype=np.int32).reshape(-1, 2).astype(np.int64) - np.array([b_at, a_at])
-                for s0, e0, s1, e1, edits in passages_of(np.frombuffer(bw, dtype=np.uint32), np.frombuffer(aw, dtype=np.uint32), s, k, least_words, 1 - identity):
-                    out.append((b, s0 + b_at, e0 + b_at, a, s1 + a_at, e1 + a_at, edits, bool((s[-1] - s[0]).max() + k + 2 * (window + k) < least_words)))
+            out, todo, of = [], [], []
+            for a, b, seeds, late, a_at, aw, b_at, bw in zip(*(t.column(i).to_pylist() for i in range(8)), strict=True):
+                todo.append((np.frombuffer(bw, dtype=np.uint32), np.frombuffer(aw, dtype=np.uint32), np.frombuffer(seeds, dtype=np.int32).reshape(-1, 2).astype(np.int64) - np.array([b_at, a_at])))
+                of.append((b, b_at, a, a_at, late))
+            for (b, b_at, a, a_at, late), (_, _, s), found in zip(of, todo, passages_of(todo, k, least_words, 1 - identity, slack), strict=True):
+                for s0, e0, s1, e1, edits in found:
+                    out.append((b, s0 + b_at, e0 + b_at, a, s1 + a_at, e1 + a_at, edits, late or bool((s[-1] - s[0]).max() + k + 2 * (window + k) < least_words)))
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], type=x) for i, x in enumerate(types)], names=["doc_id", "start", "end", "of_doc_id", "of_start", "of_end", "edits", "faint"])
 
     passage = ready.mapInArrow(finish, "doc_id long, start int, end int, of_doc_id long, of_start int, of_end int, edits int, faint boolean").distinct()
     # Several chains may mark one passage.  Rows within another of the pair on both sides go, and so do those of a faint
-    # chain (few seeds, close together) of which other rows of the document leave fewer than k words uncovered.
+    # chain (few seeds, close together, or all of them common ones that met the document before) of which other rows of
+    # the document leave fewer than k words uncovered.
     passage = passage.repartition("doc_id").sortWithinPartitions("doc_id", "faint", "start", F.desc("end"), "of_doc_id", "of_start", F.desc("of_end"), "edits")
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

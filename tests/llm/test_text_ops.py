@@ -266,6 +266,61 @@ def test_extend_against_table():
             assert best[x, y] == max(best.values()) and passages.edit_words(np.array(a[:x]), np.array(b[:y])) <= edits
 
 
+def local_passage(a, b, least=50, worst=0.2):
+    """By brute force: whether some stretches of both, of ``least`` words at least, are within ``worst`` edits a word."""
+    for i in range(len(a) - least + 1):
+        row, best = [0] * (len(b) + 1), list(range(len(b) + 1))  # least edits of a[i:i+n] against b[s:j], and the s of it
+        for n, v in enumerate(a[i:], 1):
+            new, at = [n], [0]
+            for j, w in enumerate(b, 1):
+                c, s = min((row[j - 1] + (v != w), best[j - 1]), (row[j] + 1, best[j]), (new[-1] + 1, at[-1]))
+                new.append(c)
+                at.append(s)
+            row, best = new, at
+            if any(j - s >= least and n >= least and c <= worst * max(n, j - s) for j, (c, s) in enumerate(zip(row, best, strict=True))):
+                return True
+    return False
+
+
+def test_passages_against_brute_force(spark):
+    """Pairs with up to two passages of 60 to 90 words, up to one word in five edited: nearly all that brute force finds are
+    found, by the operator's own settings, and every row holds what it says."""
+    r = random.Random(21)
+
+    def edited(w, rate):
+        w = list(w)
+        for _ in range(int(rate * len(w))):
+            i = r.randrange(len(w))
+            kind = r.randrange(3)
+            if kind == 0:
+                w[i] = word(r) + "q"
+            elif kind == 1:
+                w.insert(i, word(r) + "q")
+            else:
+                del w[i]
+        return w
+
+    docs, want = {}, set()
+    for k in range(60):
+        parts = [prose(r.randint(60, 90), r).split() for _ in range(1 + k % 2)]
+        rate = (0.0, 0.05, 0.1, 0.15, 0.2)[k % 5]
+        one, two = prose(20, r).split(), prose(30, r).split()
+        for p in parts:
+            one += p + prose(70, r).split()
+            two += edited(p, rate) + prose(r.randint(0, 90), r).split()
+        docs[2 * k], docs[2 * k + 1] = one, two
+        if rate < 0.2 or (len(parts) == 1 and local_passage(two[20:130], one[10:120])):
+            want.add((2 * k + 1, 2 * k))
+    got = passages.repeated_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], DOCS)).collect()
+    found = {(x.doc_id, x.of_doc_id) for x in got}
+    assert len(found & want) >= 0.95 * len(want) and len(want) >= 50
+    code = {}
+    for x in got:
+        a, b = docs[x.doc_id][x.start : x.end], docs[x.of_doc_id][x.of_start : x.of_end]
+        edits = passages.edit_words(*(np.array([code.setdefault(w, len(code)) for w in v]) for v in (a, b)))
+        assert min(len(a), len(b)) >= 50 and edits <= x.edits <= 0.2 * max(len(a), len(b))
+
+
 def test_passages_stutter(spark):
     """Texts that repeat one word, or themselves, are matched too."""
     docs = [(1, prose(30) + " of" * 120), (2, "of " * 90 + prose(30))]
