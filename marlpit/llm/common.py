@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space and the ASCII controls tab..carriage return.
 WORD_PATTERN = r"[^ \t-\r]+"
 _MADE: list[str] = []
+#: Tables registered over scratch folders.
+_TABLES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +56,7 @@ def bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
     name = f"{tag}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/marlpit/{name}"
     _MADE.append(path)
+    _TABLES.append(name)
     df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._marlpit_path = path
@@ -63,6 +66,8 @@ def bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
 def sweep(spark: SparkSession) -> int:
     """Delete all scratch tables that this driver has made.  For callers, once what they wanted is written elsewhere."""
     n = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _MADE:
         path = _MADE.pop()
         with contextlib.suppress(Exception):

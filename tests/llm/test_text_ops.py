@@ -366,6 +366,79 @@ def test_lm_is_a_distribution(spark):
     assert all(0 < got[1000 + i] < 1 for i in range(9)) and sum(got[1000 + i] for i in range(5)) < 1
 
 
+def plain_counts(docs, taught):
+    """Counts of words, bigrams and trigrams of training texts, each behind a start, with an end."""
+    count = {}
+    for (_, t), learned in zip(docs, taught, strict=True):
+        w = [None, "<s>", *(t or "").lower().split(), "</s>"]
+        for i in range(2, len(w)) if learned else []:
+            for key in ((w[i],), (w[i - 1], w[i]), (w[i - 2], w[i - 1], w[i])):
+                count[key] = count.get(key, 0) + 1
+            if w[i - 1] == "<s>":
+                count["<s>",] = count.get(("<s>",), 0) + 1
+    return count
+
+
+def plain_terms(t, count, less=0):
+    """Of each token: counts of its trigram, the pair before it, its bigram, the word before it and itself, ``less`` that."""
+    w = [None, "<s>", *(t or "").lower().split(), "</s>"]
+    for i in range(2, len(w)):
+        pair = count.get((w[i - 2], w[i - 1]), 0) if i > 2 else count.get(("<s>",), 0)
+        keys = ((w[i - 2], w[i - 1], w[i]), None, (w[i - 1], w[i]), (w[i - 1],), (w[i],))
+        yield [(pair if k is None else count.get(k, 0)) - less for k in keys]
+
+
+@pytest.mark.parametrize("setting", [{}, {"most_tokens": 300, "bucket_tokens": 40, "fan": 3}])
+def test_lm_against_brute_force(spark, setting):
+    """Scores, with repeated rows and null ids over many partitions; with small ranges the questions go through a tree."""
+    r = random.Random(30)
+    vocab = [word(r) for _ in range(40)]
+    docs = [(k, " ".join(r.choice(vocab[: 5 + k % 30]) for _ in range(r.randint(0, 40)))) for k in range(300)]
+    docs += [(None, "a b c")] * 6 + [(7, docs[7][1])] * 3 + [(8, "other words"), (500, None), (501, "never seen words at all")] + docs[:40]
+    df = spark.createDataFrame(docs, DOCS).repartition(5).withColumn("chunk", F.lit("clash")).withColumn("train", F.lit(1))
+    got = lm.score(df, F.col("doc_id") % 10 != 0, **setting).collect()
+    taught = [i is not None and i % 10 != 0 for i, _ in docs]
+    count = plain_counts(docs, taught)
+    n, v = sum(c for k, c in count.items() if len(k) == 1 and k != ("<s>",)), sum(len(k) == 1 for k in count) - 1
+    hist = np.zeros((lm.BUCKETS, lm.RANGE, lm.RANGE, lm.RANGE), dtype=np.int64)
+    for (_, t), learned in zip(docs, taught, strict=True):
+        for c3, cuv, c2, cv, cw in plain_terms(t, count, 1) if learned else []:
+            one = lambda x, steps=lm.STEPS: int(lm.bins(np.array([x]), steps)[0])
+            hist[int(lm.context_bucket(np.array([cuv]), np.array([cv]))[0]), one(c3 / max(cuv, 1)), one(c2 / max(cv, 1)), one(cw / (n - 1), 1)] += 1
+    weights = lm.learn_weights(hist, 1 / (v + 1))
+    want = []
+    for i, t in docs:
+        total = 0.0
+        for c3, cuv, c2, cv, cw in plain_terms(t, count):
+            w = weights[int(lm.context_bucket(np.array([cuv]), np.array([cv]))[0])] * np.array([cuv > 0, cv > 0, 1, 1])
+            total += math.log10(w @ np.array([c3 / max(cuv, 1), c2 / max(cv, 1), cw / n, 1 / (v + 1)]) / w.sum())
+        want.append((str(i), len((t or "").split()) + 1, round(total, 6)))
+    assert sorted((str(x.doc_id), x.n_tokens, round(x.score, 6)) for x in got) == sorted(want)
+    assert {x.train_tokens for x in got} == {n}
+
+
+def test_lm_sums_to_one(spark):
+    """After any two words, the probabilities of all known words, the end and one unseen word add up to one."""
+    train = [(k, "a b a c b a b c c a"[: 2 * (k % 9) + 1]) for k in range(1, 80)]
+    ends = ["a", "b", "c", "zz"]
+    probe = {(u, w, x): f"{u} {w} {x}".strip() for u in ["", *ends] for w in (ends if u else ["", *ends]) for x in ["", *ends]}
+    rows = train + [(1000 + k, t) for k, t in enumerate(dict.fromkeys(probe.values()))]
+    got = {x.doc_id: 10**x.score for x in lm.score(spark.createDataFrame(rows, DOCS), F.col("doc_id") < 1000).collect()}
+    p = {t: got[1000 + k] for k, t in enumerate(dict.fromkeys(probe.values()))}
+    # P(text) = P(words) P(end | last two): what ends here, and what goes on by one word and ends after it, shares P(words)
+    for c in ("", "a", "a b", "c a", "zz a", "zz zz"):
+        assert all(0 < p[f"{c} {x}".strip()] < 1 for x in ends if f"{c} {x}".strip() in p)
+    taught = lm.mixture(np.tile([0.4, 0.3, 0.2, 0.1], (lm.BUCKETS, 1)), np.array([0, 0, 3]), np.array([0, 2, 5]))
+    assert np.allclose(taught.sum(1), 1) and (taught[0, :2] == 0).all() and taught[1, 0] == 0
+    count = plain_counts(train, [True] * len(train))
+    n, vocab = sum(c for k, c in count.items() if len(k) == 1 and k != ("<s>",)), ["a", "b", "c", "</s>"]
+    for u, w in (("a", "b"), ("b", "a"), ("zz", "a"), ("a", "zz"), ("zz", "zz")):
+        cuv, cv = count.get((u, w), 0), count.get((w,), 0)
+        m = lm.mixture(np.random.default_rng(1).dirichlet(np.ones(4), lm.BUCKETS), np.array([cuv]), np.array([cv]))[0]
+        total = sum(m @ np.array([count.get((u, w, x), 0) / max(cuv, 1), count.get((w, x), 0) / max(cv, 1), count.get((x,), 0) / n, 1 / (len(vocab) + 1)]) for x in [*vocab, "unseen"])
+        assert abs(total - 1) < 1e-12
+
+
 def test_em_finds_weights():
     rng = np.random.default_rng(0)
     hist = np.zeros((lm.BUCKETS, lm.RANGE, lm.RANGE), dtype=np.int64)
