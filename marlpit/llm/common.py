@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Where that is unset, a temporary one in local mode (tests); on a
+    cluster each executor would have its own, so that raises."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = os.environ.get("MARLPIT_SCRATCH")
         if not root:
             root = os.environ["MARLPIT_SCRATCH"] = tempfile.mkdtemp(prefix="marlpit-scratch-")
@@ -87,7 +91,7 @@ def discard(*frames: DataFrame) -> None:
                 hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df``, a narrow frame, marked for broadcast if it has at most ``most_rows`` rows; else left to a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 

@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 
@@ -52,16 +51,20 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.lit(40), text)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, the fingerprint as a signed long."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
+    """``docs(doc_id, text)`` -> ``(doc_id, th, fp)``: hash of the text, and the fingerprint as a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("th"), F.encode("text", "UTF-8").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(2)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def co_occurrence(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -182,8 +185,10 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
     masks = key_masks(plan_parts(n, both, radius))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)]))
-    keyed = fps.select("fp", key.alias("key")).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    keyed = fps.select("fp", key.alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    keyed = common.join_first(keyed, shared, "key", n * len(masks))
+    tiles = F.ceil(F.col("df") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(41), "fp"), tiles).cast("int")
     keyed = keyed.withColumn("g", tiles).withColumn("r", own)
     other = F.explode(F.when(F.col("g") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("g") - 1), lambda j: j != F.col("r"))))
@@ -219,6 +224,19 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 4096) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def components(docs: DataFrame, radius: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, th, fp)`` of each row, and of each fingerprint ``(fp, df, label, low, first)``: how many rows have it, its
+    component, and the component's smallest doc_id and first row (by doc_id, null last, then text hash)."""
+    fps = common.materialise(fingerprints(docs, shingle), "simhash-fp")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    distinct = common.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min(row).alias("row"), F.count("*").alias("copies")), "simhash-distinct")
+    comp = common.connected_components(links(distinct, radius))
+    named = common.materialise(distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "rep", "row", "copies", F.coalesce("component", "fp").alias("label")), "simhash-named")
+    first = named.groupBy("label").agg(F.min("rep").alias("low"), F.min("row").alias("first"), F.count("*").alias("df"))
+    of = common.join_first(named.select("fp", "copies", "label"), first, "label", named.count())
+    return fps, of.select("fp", F.col("copies").alias("df"), "label", "low", "first")
+
+
 def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint (16 lowercase hex digits), component_id.
 
@@ -227,29 +245,46 @@ def near_duplicates(docs: DataFrame, *, radius: int = 4, shingle: int = 4) -> Da
     each.  A null doc_id takes part but never names a component unless it has no other member (then null).  An empty
     table gives no rows; other columns are ignored.
     """
-    fps = common.materialise(fingerprints(docs, shingle), "simhash-fp")
-    distinct = common.materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "simhash-distinct")
-    comp = common.connected_components(links(distinct, radius))
-    named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("label"))
-    first = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = named.join(first, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, of = components(docs, radius, shingle)
+    of = common.materialise(of.select("fp", "df", F.col("low").alias("component_id")), "simhash-of")
+    out = common.join_first(fps.select("doc_id", "fp"), of, "fp", fps.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
+def keep_one(docs: DataFrame, *, radius: int = 4, shingle: int = 4) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest doc_id stays, with all its columns.
 
-    Rows that repeat a kept doc_id go too.  Rows with a null doc_id stay, as they can't be told apart.
+    Rows are told apart by doc_id and text: different texts that share an id each stay if they are alone, and of such texts
+    in one component the one with the smallest text hash stands for it.  Rows that agree in both are copies: one stays, the
+    first by a hash of all its columns.  A null doc_id comes after all others.  Null and blank texts are near-duplicates of
+    each other.  An empty table stays empty; columns may have any names.
     """
-    judged = common.materialise(near_duplicates(docs, **settings).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")), "simhash-judged")
-    gone = judged.where("not stays").select(F.col("doc_id").alias("__simhash_id"))
-    kept = docs.join(common.small(gone), docs["doc_id"].cast("long") == F.col("__simhash_id"), "left_anti")
-    if not judged.where("rows > 1 and stays").limit(1).count():
-        return kept
-    again = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("__simhash_id"))), kept["doc_id"].cast("long") == F.col("__simhash_id"), "left_semi")
-    alone = kept.join(common.small(judged.where("rows > 1 and stays").select(F.col("doc_id").alias("__simhash_id"))), kept["doc_id"].cast("long") == F.col("__simhash_id"), "left_anti")
-    return alone.unionByName(again.dropDuplicates(["doc_id"]))
+    fps, of = components(docs, radius, shingle)
+    of = common.materialise(of.select("fp", "df", "first"), "simhash-of")
+    rows = common.join_first(fps, of, "fp", fps.count()).drop("df")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("th").eqNullSafe(F.col("first.th"))
+    judged = common.materialise(rows.groupBy("doc_id", "th").agg(F.max(first).alias("stays"), F.count("*").alias("n")), "simhash-judged")
+    key = [F.col("doc_id").cast("long").alias("__simhash_id"), text_hash(F.col("text")).alias("__simhash_th")]
+    names = docs.columns
+    docs = docs.select("*", *key)
+
+    def among(which: str) -> DataFrame:
+        return common.small(judged.where(which).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
+
+    def match(other: DataFrame) -> Column:
+        return docs["__simhash_id"].eqNullSafe(other["__id"]) & (docs["__simhash_th"] == other["__th"])
+
+    gone = among("not stays")
+    kept = docs.join(gone, match(gone), "left_anti")
+    if not judged.where("n > 1 and stays").limit(1).count():
+        return kept.select(names)
+    twice = among("n > 1 and stays")
+    alone = kept.join(twice, match(twice), "left_anti").select(names)
+    again = kept.join(twice, match(twice), "left_semi")
+    row = F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__simhash_row")
+    return alone.unionByName(again.groupBy("__simhash_id", "__simhash_th").agg(row).select("__simhash_row.*"))
 
 
 def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` by 4-word shingles and 4 bits; nulls, repeats and an empty table as in :func:`near_duplicates`."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -110,6 +110,23 @@ def test_keep_one(spark):
     assert out.columns == df.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
 
 
+def test_keep_one_loses_no_distinct_text(spark):
+    """Texts that share an id are judged each: only copies and near copies go."""
+    rows = [(5, "one two three four five"), (5, "six seven eight nine ten"), (5, "six seven eight nine ten"), (None, "six seven eight nine ten"), (None, "null id alone here"), (None, "null id alone here"), (7, "one two three four five"), (9, None), (8, " ")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("th", F.monotonically_increasing_id()).withColumn("first", F.lit("clash"))
+    kept = [sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df.repartition(n)).collect()) for n in (1, 5)]
+    assert kept[0] == kept[1] == sorted([("5", rows[0][1]), ("5", rows[1][1]), ("None", rows[4][1]), ("8", " ")])
+
+
+def test_hot_labels(spark):
+    """Hundreds of fingerprints in one component, and hundreds of rows of one fingerprint."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(300)] + [(1000 + k, "same text for all of these") for k in range(600)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    want = brute([plain_fingerprint(t) for _, t in rows[:301]], [i for i, _ in rows[:301]])
+    assert all(got[k].component_id == want[k] for k in range(300)) and {got[1000 + k].component_id for k in range(600)} == {1000}
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(0, 30)] + [(100, 200), (200, 300), (5, 5), (7, 7)] + [(500, 500 + k) for k in range(1, 60)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
