@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 from .simhash import absorb
@@ -46,7 +45,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.nd
         return np.zeros((1, x.shape[1]))
     c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+        near = np.concatenate([((c**2).sum(1)[None] - 2 * x[at : at + 4096] @ c.T).argmin(1) for at in range(0, len(x), 4096)])
         n = np.bincount(near, minlength=len(c))
         for j in range(x.shape[1]):
             c[:, j] = np.where(n > 0, np.bincount(near, weights=x[:, j], minlength=len(c)) / np.maximum(n, 1), c[:, j])
@@ -56,7 +55,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.nd
 def train(sample: np.ndarray, lists: int, subspaces: int, codes: int, rounds: int = 8, seed: int = 9) -> Index:
     rng = np.random.default_rng(seed)
     c = lloyd(sample, lists, rounds, rng)
-    r = sample - c[((c**2).sum(1)[None] - 2 * sample @ c.T).argmin(1)]
+    r = sample - c[np.concatenate([((c**2).sum(1)[None] - 2 * sample[at : at + 4096] @ c.T).argmin(1) for at in range(0, max(1, len(sample)), 4096)])]
     d = sample.shape[1] // subspaces
     books = [lloyd(r[:, s * d : (s + 1) * d], codes, rounds, rng) for s in range(subspaces)]
     books = [np.vstack([b, np.repeat(b[:1], codes - len(b), axis=0)]) for b in books]
@@ -106,16 +105,18 @@ def search_list(index: Index, lst: int, x: np.ndarray, exact: np.ndarray, home:
     return count, label
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, probes: int = 12, subspaces: int = 8, codes: int = 64, sample: int = 20_000, list_size: int = 100, most_lists: int = 1024, tile: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, probes: int = 12, subspaces: int = 8, codes: int = 64, sample: int = 20_000, list_size: int = 100, most_lists: int = 16_384, tile: int = 2048) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding, label)``: vec_id, n_links, component_id, kept.
 
     Only vectors of equal, non-null label (and equal length) are compared.  A vector that is null, empty or zero, or holds
     a null or non-finite component, links with nothing: n_links 0, component_id its own id, kept true.  Equal vectors link
     with each other.  ``component_id`` is the smallest vec_id reachable, ``kept`` whether it is the row's own.  Rows that
-    repeat a vec_id count as vectors of their own.  An empty table gives no rows.
+    repeat a vec_id count as vectors of their own, each with its own links, and share the id that names a component.  An
+    empty table gives no rows; other columns are ignored.
 
-    The index is fitted on at most ``sample`` vectors, those with the smallest keyed hash; all are indexed.  The number of
-    lists follows the number of distinct vectors in the largest label, between 1 and ``most_lists``.
+    The index is fitted on at most ``sample`` vectors (or four a list, if those are more), those with the smallest keyed
+    hash; all are indexed.  The number of lists follows the number of distinct vectors in the largest label, between 1 and
+    ``most_lists``.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -124,14 +125,14 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, probes: int = 1
     ok = rows.where("good")
     keyed = [F.col("label"), F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")]
     groups = ok.groupBy("label", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
-    classes = common.materialise(groups.select(*keyed, F.coalesce("low", F.xxhash64("embedding", "label")).alias("cid"), "low", "weight", "embedding"), "pq-classes")
+    classes = common.materialise(groups.select(*keyed, F.xxhash64("embedding", "label").alias("cid"), "low", "weight", "embedding"), "pq-classes")
     found: list[DataFrame] = []
     edges: list[DataFrame] = []
     for (dim,) in classes.select("dim").distinct().orderBy("dim").collect():  # one index for each length of vector
         part = classes.where(F.col("dim") == dim)
         largest = part.groupBy("label").count().agg(F.max("count")).first()[0]
         lists = int(min(most_lists, max(1, largest // list_size)))
-        rows_fit = part.orderBy(F.xxhash64(F.lit(9), "cid")).limit(sample).select("embedding").collect()
+        rows_fit = part.orderBy(F.xxhash64(F.lit(9), "cid")).limit(max(sample, 4 * lists)).select("embedding").collect()
         fit = np.array([r[0] for r in rows_fit], dtype=np.float64)
         fit /= np.abs(fit).max(axis=1, keepdims=True)
         fit /= np.linalg.norm(fit, axis=1, keepdims=True)
@@ -150,8 +151,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.93, probes: int = 1
     comp = common.connected_components(edge)
     named = classes.drop("embedding").join(count, "cid", "left").join(comp, F.col("cid") == F.col("node"), "left")
     named = named.select("label", "dim", "h1", "h2", "low", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n"), F.coalesce("component", "cid").alias("comp"))
-    low = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "comp").select("label", "dim", "h1", "h2", "n", "component_id", F.lit(True).alias("good"))
+    named = common.materialise(named, "pq-named")
+    low = named.groupBy("comp").agg(F.min("low").alias("component_id"), F.count("*").alias("df"))
+    named = common.join_first(named, low, "comp", named.count()).select("label", "dim", "h1", "h2", "n", "component_id", F.lit(True).alias("good"))
     out = out.join(named, ["label", "dim", "h1", "h2", "good"], "left")
     comp_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), comp_id.cast("long").alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(True)).alias("kept"))
@@ -169,10 +171,12 @@ def _search(classes: DataFrame, index, cosine: float, probes: int, tile: int) ->
             x = np.stack(b.column(3).to_numpy(zero_copy_only=False)).astype(np.float64)
             x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            dist = (ix.centroids**2).sum(1)[None] - 2 * x @ ix.centroids.T
-            p = min(probes, len(ix.centroids))
-            near = np.argpartition(dist, p - 1, axis=1)[:, :p]
-            near = np.take_along_axis(near, np.argsort(np.take_along_axis(dist, near, 1), axis=1, kind="stable"), 1).astype(np.int32)
+            p, parts = min(probes, len(ix.centroids)), []
+            for at in range(0, len(x), 1024):
+                dist = (ix.centroids**2).sum(1)[None] - 2 * x[at : at + 1024] @ ix.centroids.T
+                some = np.argpartition(dist, p - 1, axis=1)[:, :p]
+                parts.append(np.take_along_axis(some, np.argsort(np.take_along_axis(dist, some, 1), axis=1, kind="stable"), 1).astype(np.int32))
+            near = np.concatenate(parts)
             again = np.repeat(np.arange(len(x)), p)
             vec = [v.tobytes() for v in x]
             yield pa.RecordBatch.from_arrays(
@@ -181,7 +185,9 @@ def _search(classes: DataFrame, index, cosine: float, probes: int, tile: int) ->
             )
 
     cells = classes.select("cid", F.col("label").cast("string").alias("label"), "weight", "embedding").mapInArrow(place, schema)
-    cells = cells.withColumn("n", F.count("*").over(W.partitionBy("label", "list")))
+    # Sizes of lists are counted apart, so that no list's vectors meet before it is cut into tiles.
+    sizes = cells.groupBy("label", "list").agg(F.count("*").alias("n"))
+    cells = cells.join(common.small(common.materialise(sizes, "pq-sizes")), ["label", "list"])
     g = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     cells = cells.withColumn("g", g).withColumn("side", F.pmod(F.xxhash64(F.lit(91), "cid"), F.col("g")).cast("int")).drop("n")
     cells = cells.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
@@ -218,4 +224,5 @@ def _search(classes: DataFrame, index, cosine: float, probes: int, tile: int) ->
 
 
 def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``embeddings`` at a cosine of 0.93; nulls, repeats and an empty table as in :func:`near_duplicates`."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))

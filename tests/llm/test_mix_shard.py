@@ -165,3 +165,21 @@ def test_sharded_documents(spark, docs):
     out = sharding.sharded_documents(wide, 8)
     assert out.columns == ["doc_id", "text", "source", "n_chars", "shard", "slot"]
     assert out.count() == docs.count() == out.select("shard", "slot").distinct().count()
+
+
+def test_equal_rows_are_parted(spark):
+    """Thousands of rows that agree in id and text are a group that is cut like any other large one."""
+    df = spark.createDataFrame([(None, "the same text of some words", "s")] * 4000 + [(i, f"text {i} of some words too", "s") for i in range(4000)], SCHEMA).repartition(6)
+    runs = [check_shards(spark, df) for _ in range(2)]
+    b, n = runs[0].groupby("shard")["size"].sum(), runs[0].groupby("shard").size()
+    assert len(b) == 40 and b.max() / b.mean() < 1.05 and n.max() / n.mean() < 1.1
+    key = lambda t: sorted(map(str, t[["doc_id", "size", "text_crc32", "shard", "slot"]].values.tolist()))
+    assert key(runs[0]) == key(runs[1])
+
+
+def test_cells_stay_even(spark):
+    """Groups that are packed in many cells are about as even as those of one."""
+    df = spark.createDataFrame([(i, f"w{i} " + "w " * (i * 37 % 400), "s") for i in range(9000)], SCHEMA).withColumn("g", F.lit("clash")).withColumn("k", F.lit(0))
+    got = sharding.shard(df, 8, groups_per_cell=500).toPandas()
+    for sums in (got.groupby("shard")["size"].sum(), got.groupby("shard")["tokens"].sum(), got.groupby("shard").size()):
+        assert sums.max() / sums.mean() < 1.02

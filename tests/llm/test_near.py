@@ -196,3 +196,24 @@ def test_vectors(spark, setting):
 def test_vector_edges(spark, rows):
     got = embeddings.near_duplicates(spark.createDataFrame(rows, VEC)).collect()
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(r[0], 0, r[0], True) for r in rows]
+
+
+def test_vectors_that_share_an_id(spark):
+    """Each vector has its own links, whoever shares its id."""
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (7, [1.0, 0.001], 1), (8, [-1.0, 0.0], 2), (8, [-1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, VEC).withColumn("cid", F.lit(3)).withColumn("n", F.lit("clash"))
+    got = embeddings.near_duplicates(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 0, 5), (5, 1, 5), (7, 1, 5), (8, 1, 8), (8, 1, 8)]
+
+
+def test_recall_with_more_lists_than_probes(spark):
+    """Thousands of vectors in sixty lists, twelve of them probed: nearly all links of brute force, and none else."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 24))
+    x = np.vstack([x, *(x + rng.normal(size=x.shape) * s for s in (0.15, 0.25, 0.32))]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row], 1) for i, row in enumerate(x)], VEC)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, list_size=60).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    assert all(got[i] <= want[i] for i in range(len(x))) and sum(got.values()) >= 0.98 * want.sum() > 1000
