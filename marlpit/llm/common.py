@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,25 @@ def join_first(left: DataFrame, first: DataFrame, key: str, total: int, share: i
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
 
+class _Hashes(dict):
+    """Hashes of words met before; what it holds is bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z lower-cased."""
+    words = (text or b"").lower().split()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 

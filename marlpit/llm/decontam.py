@@ -170,22 +170,39 @@ def _stretches(x: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verify(block: Items, it: int, c: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, m: int, k: int, q: int, need: int) -> list[tuple[int, int, int, int]]:
-    """Windows of the item, ``m`` long, half a window apart, whose share of the hits reaches the bound, aligned in the band."""
+    """Windows of the item, ``m`` long, that begin or end where a hit does and whose share of the hits reaches the bound,
+    aligned in the band.  A window that is there unchanged is extended as far as it agrees."""
     out = []
-    starts = sorted({*range(0, max(1, len(b) - m + 1), max(1, m // 2)), len(b) - m})
-    for w in starts:
-        inside = (y >= w) & (y <= w + m - q)
-        if len(np.unique(y[inside])) < need:
+    end = len(b) - m
+    order = np.argsort(y, kind="stable")
+    x, y = x[order], y[order]
+    places = np.unique(y)
+    starts = np.unique(np.clip(np.concatenate((places, places + q - m, [0, end])), 0, end))
+    enough = np.searchsorted(places, starts + m - q, side="right") - np.searchsorted(places, starts) >= need
+    after = 0
+    for w in starts[enough].tolist():
+        if w < after:
             continue
-        diagonal = int(np.median(x[inside] - y[inside])) + w
-        if diagonal >= 0 and np.array_equal(c[diagonal : diagonal + m], b[w : w + m]):  # nothing to align
-            out.append((it, diagonal, diagonal + m, 0))
-            continue
-        lo = max(0, diagonal - 2 * k - 1)
-        a = c[lo : diagonal + m + 2 * k + 1]
-        edits, s, e = banded(a, b[w : w + m], diagonal - lo, 2 * k + 1)
-        if edits <= k:
-            out.append((it, lo + s, lo + e, edits))
+        lo, hi = np.searchsorted(y, w), np.searchsorted(y, w + m - q, side="right")
+        shift = x[lo:hi] - y[lo:hi]
+        # Verbatim windows first, on any diagonal that a hit at the window's start names.
+        for d in np.unique(shift[y[lo:hi] == w]).tolist():
+            if d + w >= 0 and np.array_equal(c[d + w : d + w + m], b[w : w + m]):
+                n = min(len(b) - w, len(c) - d - w)
+                same = c[d + w : d + w + n] == b[w : w + n]
+                n = n if same.all() else int(np.argmin(same))
+                out.append((it, d + w, d + w + n, 0))
+                after = w + n - m + 1
+                break
+        else:
+            diagonal = int(np.median(shift)) + w
+            from_ = max(0, diagonal - 2 * k - 1)
+            edits, s, e = banded(c[from_ : diagonal + m + 2 * k + 1], b[w : w + m], diagonal - from_, 2 * k + 1)
+            if edits <= k:
+                out.append((it, from_ + s, from_ + e, edits))
+                after = w + max(1, m // 4)
+            else:  # a step changes the edits by two at most
+                after = w + max(1, (edits - k) // 2)
     return out
 
 
@@ -204,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: fl
     """``(doc_id, item_id, start, end, edits)``: passages of ``docs(doc_id, text)`` that repeat ``benchmark(item_id, text)``.
 
     A passage counts if it is within ``rate`` edits a character of a whole item, or of a ``window`` characters long piece
-    of one (pieces half a window apart), both normalised; places are in the normalised text.  Documents are read whole.
+    of one, wherever that begins, both normalised; places are in the normalised text.  Documents are read whole.
     Items whose normalised text is shorter than ``2 * q`` characters, and null ones, can't be told from chance and match
     nothing; null texts have no passages.  Repeated rows are reported each; repeated items too.  Empty tables give none.
 
@@ -240,15 +257,22 @@ def blocks(benchmark: DataFrame, q: int, rate: float, window: int, block_chars:
 def clean(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, rate: float = 0.06, window: int = 100, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage (see :func:`contaminated`), all columns unchanged."""
     at = docs.columns.index("text")
-    for held in blocks(benchmark, q, rate, window, block_chars):
+    schema, written = docs.schema, None
+    for n, held in enumerate(blocks(benchmark, q, rate, window, block_chars)):
+        if n:  # one block's index at a time in a task
+            before, docs = written, common.materialise(docs, "leak-clean")
+            written = docs
+            if before is not None:
+                common.discard(before)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not passages(held.value, t.as_py(), q, rate, window) for t in b.column(at)], type=pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, schema)
     return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` against all of ``benchmark``; nulls, repeats and empty tables as in :func:`contaminated`."""
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

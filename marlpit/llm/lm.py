@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,8 +68,7 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 def tokens(text: bytes | None) -> np.ndarray:
     """Hashes of the words of a text, A-Z lower-cased, then the end."""
-    words = (text or b"").lower().split()
-    return np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)), END)
+    return np.append(common.word_hashes(text), END)
 
 
 def bigrams(v: np.ndarray, w: np.ndarray) -> np.ndarray:

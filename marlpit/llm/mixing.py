@@ -101,7 +101,8 @@ def shard_contents(docs: DataFrame, **settings) -> DataFrame:
     """What each output shard holds, in its own shuffled order: ``shard, place, doc_id, crc, start, words``.
 
     A row is a stretch of a document's words that one drawn block covers; stretches of all shards add up to ``taken``.
-    ``place`` is a keyed hash; each shard is sorted by it within its partition, so shards are shuffled locally.
+    ``place`` is a keyed hash; each shard is sorted by it within its partition, so shards are shuffled locally.  Nulls,
+    repeated rows and empty tables are as in :func:`mix`: rows without words, and an empty table, give none.
     """
     rows, owned = lay_out(docs, **settings)
     spans = rows.where("size > 0").select("sk", "doc_id", "crc", "h", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / F.col("bw")), F.floor((F.col("end") - 1) / F.col("bw")))).alias("b"))
@@ -145,8 +146,10 @@ def lay_out(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: flo
     counts = plan.select("idx", "sk").join(draw.groupBy("sk").agg(F.count("*").alias("n")), "sk", "left").select("idx", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     quotas = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "n"))), lambda x: x["n"]).alias("q"))
     leaf = splitting_tree(quotas, n_shards, seed + 3).where("n > 0")
-    ends = leaf.withColumn("end", F.sum("n").over(W.partitionBy("idx").orderBy("shard"))).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"))
-    owned = draw.join(ends, "idx").withColumn("shard", F.filter("ends", lambda e: e["end"] >= F.col("place"))[0]["shard"])
+    # A leaf draws the next stretch of each source's permutation; what no leaf draws is not taken.
+    upto = F.sum("n").over(W.partitionBy("idx").orderBy("shard"))
+    drawn_by = leaf.withColumn("upto", upto).select("idx", "shard", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("place"))
+    owned = draw.join(drawn_by, ["idx", "place"])
     per_block = owned.groupBy("sk", "bw", "b").agg(F.sum("words").alias("take"), F.sum(F.when(F.col("pass") > 0, F.lit(1)).otherwise(F.lit(0))).alias("whole"), F.sum(F.when(F.col("pass") == 0, F.col("words")).otherwise(F.lit(0))).alias("part"), F.array_sort(F.collect_set("shard")).alias("shards"))
     # Undrawn blocks count as zero, so that positions index the array.
     per_block = block.select("sk", "bw", "b").join(per_block.drop("bw"), ["sk", "b"], "left").select("sk", "bw", "b", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("take", "whole", "part")], F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
@@ -182,18 +185,27 @@ def lay_out(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), share: flo
     return got, owned
 
 
-def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, n_shards: int = 64, seed: int = 25, **settings) -> DataFrame:
     """The mix as documents: every row of ``docs`` as many times as :func:`mix` gives it whole copies, columns unchanged.
 
-    Rows that agree in doc_id and text stand for each other, so their copies are added and shared evenly among them, rounded up.
+    Copies go in turn to the shards that drew the row's blocks.  Rows come shard by shard, each shard shuffled by a keyed
+    hash.  Rows that agree in doc_id and text stand for each other, so their copies are added and shared evenly among them,
+    rounded up.  Nulls, repeats and empty tables as in :func:`mix`; other columns may have any names.
     """
-    plan = mix(docs, **settings).groupBy(F.col("doc_id").alias("__mixing_id"), F.col("crc").alias("__mixing_crc2")).agg(F.sum("copies").alias("__mixing_copies"), F.count("*").alias("__mixing_n"))
+    plan = mix(docs, n_shards=n_shards, **settings).groupBy(F.col("doc_id").alias("__mixing_id"), F.col("crc").alias("__mixing_crc2"))
+    plan = plan.agg(F.ceil(F.sum("copies") / F.count("*")).cast("int").alias("__mixing_times"), F.max("shards").alias("__mixing_shards")).where("__mixing_times > 0")
     keyed = docs.withColumn("__mixing_crc", F.crc32(F.encode("text", "UTF-8")))
     plan = common.small(common.materialise(plan, "mix-copies"))
     j = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__mixing_id")) & F.col("__mixing_crc").eqNullSafe(F.col("__mixing_crc2")))
-    times = F.ceil(F.col("__mixing_copies") / F.col("__mixing_n")).cast("int")
-    return j.where(times > 0).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__mixing_again")).drop("__mixing_again")
+    j = j.select(*[keyed[c] for c in docs.columns], "__mixing_id", "__mixing_crc", "__mixing_shards", F.explode(F.sequence(F.lit(0), F.col("__mixing_times") - 1)).alias("__mixing_i"))
+    # A row without words has no blocks.
+    some = F.pmod(F.xxhash64(F.lit(seed), "__mixing_id", "__mixing_crc", "__mixing_i"), F.lit(n_shards)).cast("int")
+    size = F.size("__mixing_shards")
+    j = j.withColumn("__mixing_shard", F.when(size > 0, F.get("__mixing_shards", F.pmod(F.col("__mixing_i"), F.greatest(F.lit(1), size)))).otherwise(some))
+    j = j.withColumn("__mixing_place", F.xxhash64(F.lit(seed + 1), "__mixing_shard", "__mixing_id", "__mixing_crc", "__mixing_i"))
+    return j.repartitionByRange("__mixing_shard", "__mixing_place").sortWithinPartitions("__mixing_shard", "__mixing_place").select(docs.columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``: what the shards that drew a document's blocks take of it; edge cases as in :func:`mix`."""
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "shards")

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,9 +27,14 @@ from . import common
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
-    words = (text or b"").lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+def short_words(h: np.ndarray) -> bytes:
+    """The upper 24 bits of word hashes: enough to tell the words of two stretches apart."""
+    return np.ascontiguousarray((h >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def from_short(b: bytes) -> np.ndarray:
+    three = np.frombuffer(b, dtype=np.uint8).reshape(-1, 3).astype(np.uint32)
+    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
 
 
 def minimisers(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,6 +247,7 @@ def passages_of(chains: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int,
         left = np.array([chains[c][2][s] for c, s, _ in now])
         right = np.array([rights[c][e - 1] for c, _, e in now])
         inner = np.array([links[c][s : e - 1].sum() for c, s, e in now])
+        after = np.array([len(a) for a in a_of]) - right[:, 0]
         span = right - left
         # Insertions lengthen one side, so edits a word of a may be more by that share.
         loose = worst / (1 - worst)
@@ -253,18 +258,37 @@ def passages_of(chains: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int,
         still = np.maximum(0, least - span[:, :1] - np.arange(el.shape[1])[None])
         spare = np.where(still < er.shape[1], np.take_along_axis(spare, np.minimum(still, er.shape[1] - 1), 1), -1e6)
         able = (loose * np.arange(el.shape[1]) - el + spare).max(axis=1) + loose * span[:, 0] - inner >= 0
+        found: list[tuple[int, int, int, int, int] | None] = [None] * len(now)
+        which = np.flatnonzero(able)
+        if len(which):
+            for cost, drop in ((2, 12), (4, 20)):  # at 4 an extension is within a fifth of edits by itself
+                i, j = ends_of(el[which], cost, drop), ends_of(er[which], cost, drop)
+                to = np.column_stack((left[which, 0] - i, right[which, 0] + j, left[which, 1] - jl[which, i], right[which, 1] + jr[which, j], inner[which] + el[which, i] + er[which, j]))
+                long = np.stack((to[:, 1] - to[:, 0], to[:, 3] - to[:, 2]))
+                good = (long.min(axis=0) >= least) & (to[:, 4] <= worst * long.max(axis=0))
+                for w, row, ok, more in zip(which.tolist(), to.tolist(), good.tolist(), (((i == slack) & (left[which, 0] > slack)) | ((j == slack) & (after[which] > slack))).tolist(), strict=True):
+                    if found[w] is None and ok:
+                        found[w] = tuple(row)
+                    if more:  # it may go on beyond the table
+                        found[w] = _extended(a_of[w], b_of[w], left[w], right[w], int(inner[w]), least, worst) or found[w]
+            for w in which.tolist():
+                found[w] = found[w] or _farthest(left[w], right[w], int(inner[w]), el[w], jl[w], er[w], jr[w], least, worst)
         for i, (c, s, e) in enumerate(now):
-            if able[i]:
-                found = _extended(a_of[i], b_of[i], left[i], right[i], int(inner[i]), least, worst) or _farthest(left[i], right[i], int(inner[i]), el[i], jl[i], er[i], jr[i], least, worst)
-                if found:
-                    out[c].append(found)
-                    continue
-            if inner[i]:
+            if found[i]:
+                out[c].append(found[i])
+            elif inner[i]:
                 cut = s + 1 + int(np.argmax(links[c][s : e - 1]))
                 work += [(c, s, cut), (c, cut, e)]
     return out
 
 
+def ends_of(edits: np.ndarray, cost: int, drop: int) -> np.ndarray:
+    """Where extensions with ``edits`` by length score best, given up ``drop`` below that: +1 a word, -``cost`` an edit."""
+    score = np.arange(edits.shape[1]) - (cost + 1) * edits.astype(np.int64)
+    given_up = np.maximum.accumulate(score < np.maximum.accumulate(score, axis=1) - drop, axis=1)
+    return np.where(given_up, -(10**6), score).argmax(axis=1)
+
+
 def _extended(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray, inner: int, least: int, worst: float) -> tuple[int, int, int, int, int] | None:
     """The stretch from ``left`` to ``right`` extended by score, if it is a passage."""
     (pa_, pb), (ra, rb) = left.tolist(), right.tolist()
@@ -318,7 +342,7 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
             n, hs, ps = [], [], []
             for v in b.column(2):
                 t = v.as_py()
-                h = word_hashes(t)
+                h = common.word_hashes(t)
                 g, p = seeds_of(h, k, window)
                 n.append(len(h))
                 hs.append(g.view(np.int64))
@@ -393,11 +417,11 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i in range(t.num_rows):
-                h = word_hashes(t.column(0)[i].as_py())
+                h = common.word_hashes(t.column(0)[i].as_py())
                 asks = t.column(1)[i].as_py()
                 lo = [max(0, q["lo"] - slack) for q in asks]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q["id"] for q in asks], type=pa.int64()), pa.array([q["side"] for q in asks], type=pa.int32()), pa.array(lo, type=pa.int32()), pa.array([(h[a : q["hi"] + k + slack] >> np.uint64(32)).astype(np.uint32).tobytes() for a, q in zip(lo, asks, strict=True)], type=pa.binary())],
+                    [pa.array([q["id"] for q in asks], type=pa.int64()), pa.array([q["side"] for q in asks], type=pa.int32()), pa.array(lo, type=pa.int32()), pa.array([short_words(h[a : q["hi"] + k + slack]) for a, q in zip(lo, asks, strict=True)], type=pa.binary())],
                     names=["id", "side", "at", "words"],
                 )
 
@@ -409,7 +433,7 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
         for t in batches:
             out, todo, of = [], [], []
             for a, b, seeds, late, a_at, aw, b_at, bw in zip(*(t.column(i).to_pylist() for i in range(8)), strict=True):
-                todo.append((np.frombuffer(bw, dtype=np.uint32), np.frombuffer(aw, dtype=np.uint32), np.frombuffer(seeds, dtype=np.int32).reshape(-1, 2).astype(np.int64) - np.array([b_at, a_at])))
+                todo.append((from_short(bw), from_short(aw), np.frombuffer(seeds, dtype=np.int32).reshape(-1, 2).astype(np.int64) - np.array([b_at, a_at])))
                 of.append((b, b_at, a, a_at, late))
             for (b, b_at, a, a_at, late), (_, _, s), found in zip(of, todo, passages_of(todo, k, least_words, 1 - identity, slack), strict=True):
                 for s0, e0, s1, e1, edits in found:

@@ -533,3 +533,63 @@ def test_toxicity_without_both_labels(spark, labels):
     df = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, None)], DOCS)
     m = toxicity.train(df.join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id"))
     assert len({x.score for x in toxicity.score(df, m).collect()}) == 1
+
+
+def test_every_verbatim_piece_is_found(spark):
+    """Whatever of an item, a window long, stands in a document, wherever it begins there or in the item."""
+    r = random.Random(40)
+    items = [(k, prose(120, r)) for k in range(6)]
+    docs, want = [], set()
+    for k in range(80):
+        i = r.randrange(len(items))
+        t = passages_text(items[i][1])
+        n = r.randint(100, 160)
+        at = r.randrange(len(t) - n)
+        docs.append((k, f"{prose(30, r)} {t[at:at + n]} {prose(30, r)}"))
+        want.add((k, i))
+    docs += [(1000 + k, prose(100, r)) for k in range(40)]
+    got = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    assert all(x.end - x.start >= 100 for x in got if x.edits == 0)
+    some = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_chars=900)
+    assert {(x.doc_id, x.item_id) for x in some.collect()} == want
+    left = decontam.clean(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), block_chars=900)
+    assert {x.doc_id for x in left.collect()} == {k for k, _ in docs if k >= 1000}
+
+
+def passages_text(t):
+    return "".join(map(chr, decontam.normal(t)))
+
+
+def test_restoration_is_the_cheapest():
+    """Against all ways to read a token."""
+    r = random.Random(41)
+    lm_ = toxicity.CharModel.learn([(word(r), 1.0 + k % 3) for k in range(200)])
+
+    def ways(token, out, cost, last):
+        if not token:
+            two = ("^^" + out)[-2:]
+            yield cost + lm_.cost(two, "$"), out
+            return
+        ch, rest = token[0], token[1:]
+        two = ("^^" + out)[-2:]
+        if ch.isalpha():
+            yield from ways(rest, out + ch, cost + lm_.cost(two, ch), ch)
+        for c in toxicity.LEET.get(ch, ""):
+            yield from ways(rest, out + c, cost + 0.4 + lm_.cost(two, c), ch)
+        if ch in toxicity.FILLER or not ch.isalnum():
+            yield from ways(rest, out, cost + (0.3 if ch in toxicity.FILLER else 2.5), ch)
+        if ch == last and (ch.isalpha() or ch in toxicity.LEET):
+            yield from ways(rest, out, cost + 0.5, ch)
+
+    for _ in range(200):
+        token = "".join(r.choice("abno013@$*-. eei") for _ in range(r.randint(1, 8)))
+        want = min(ways(token, "", 0.0, ""))
+        got = toxicity.restore(token, lm_)
+        assert got == want[1] or abs(min(c for c, o in ways(token, "", 0.0, "") if o == got) - want[0]) < 1e-9
+
+
+def test_long_disguises():
+    """Letters joined by signs, and letters drawn out, are seen in tokens of any length."""
+    seen = list(toxicity.disguised("x " + "-".join("nastyword" * 9) + " b" + "a" * 90 + "d"))
+    assert len(seen) > 1 and any("n-a-s-t-y-w-o-r-d" in s for s in seen) and "baaad" in seen
