@@ -10,7 +10,7 @@ Shuffling one row a token would move several times the corpus.  Instead document
 each of its distinct words, bigrams and trigrams once, packed by ranges of hashes, and gets their corpus counts back:
 
 1. every chunk keeps its tokens as indices into its sorted distinct words (``tok``), and sends packed, sorted hashes with
-   its own counts to the ranges (``ask``);
+   its own counts to the ranges: first its words, then those bigrams and trigrams whose words others have too;
 2. a range adds up the counts over the chunks that asked, and answers each in the order of its question.  A chunk sends to
    ``fan`` ranges at most, so that rows grow as the corpus does; where more are needed, the questions to a range are put
    together to larger ones and go on to ``fan`` parts of it, and the answers come back the same way;
@@ -193,6 +193,12 @@ def _added(hs: list[np.ndarray], ns: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return keys, place, np.bincount(place, weights=np.concatenate(ns), minlength=len(keys)).astype(np.uint64)
 
 
+def _joined(t: pa.RecordBatch, r: int, kind: int, which: str = "") -> np.ndarray:
+    """The answers of one kind to a chunk, part after part."""
+    kinds, ns = t.column(f"kind{which}")[r].as_py() or [], t.column(f"n{which}")[r].as_py() or []
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(n, np.uint64) for n, k in zip(ns, kinds, strict=True) if k == kind)])
+
+
 def corpus_counts(asked: DataFrame, n_chunks: int, fans: list[int], most_tasks: int = 20_000) -> DataFrame:
     """``asked(chunk, kind, part, h, n)`` by the first of ``fans`` -> ``(chunk, kind, part, n)``: the sums of ``n`` over all
     chunks for each of ``h``, in its order.  Rows of kind 0 hold sums over words: of all counts, and of words counted."""
@@ -283,45 +289,78 @@ def score(docs: DataFrame, learn: Column, *, most_tokens: int = 1_000_000, bucke
     tok = common.bucketed(src.mapInArrow(remember, "chunk long, ids array<long>, train array<boolean>, sizes array<int>, at binary, words binary"), "lm_tok", buckets, "chunk")
     n_chunks = tok.select("chunk").count()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(t: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a chunk: which places teach, sizes, words, places' words, and the chunk's own counts of the words."""
+        train, sizes = np.array(t.column("train")[r].as_py()), np.array(t.column("sizes")[r].as_py(), dtype=np.int64)
+        at, words = unpack(t.column("at")[r].as_py(), np.uint32), unpack_sorted(t.column("words")[r].as_py())
+        taught = np.repeat(train, sizes + 1)
+        return taught, sizes, words, at, np.bincount(at, weights=taught, minlength=len(words)).astype(np.uint64)
+
+    def grams(t: pa.RecordBatch, r: int, c1: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bigrams and trigrams of a chunk: kind, hashes, places among them, own counts, and which of them others may have.
+        Where a word occurs nowhere else, all that holds it is the chunk's alone, and its own count is the corpus's."""
+        taught, sizes, words, at, n = own(t, r)
+        _, i = layout(sizes)
+        pairs, in_pairs, triples, in_triples = grams_of(words, at, sizes, i)
+        alone = (c1 == n)[at]
+        two = alone[i] | alone[i - 1]
+        before = np.concatenate(([False], two[:-1]))
+        before[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = False
+        out = []
+        for kind, h, place, here in ((PAIR, pairs, in_pairs, two), (TRIPLE, triples, in_triples, two | before)):
+            out.append((kind, h, place, np.bincount(place, weights=taught[i], minlength=len(h)).astype(np.uint64), np.bincount(place, weights=~here, minlength=len(h)) > 0))
+        return out
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for r in range(t.num_rows):
+                _, _, words, _, n = own(t, r)
+                yield _batch(questions(t.column("chunk")[r].as_py(), WORD, words, n, 0, 1, fans[0]))
+
+    def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for r in range(t.num_rows):
-                chunk, train, sizes = t.column(0)[r].as_py(), np.array(t.column(1)[r].as_py()), np.array(t.column(2)[r].as_py(), dtype=np.int64)
-                at, words = unpack(t.column(3)[r].as_py(), np.uint32), unpack_sorted(t.column(4)[r].as_py())
-                taught = np.repeat(train, sizes + 1)
-                _, i = layout(sizes)
-                pairs, in_pairs, triples, in_triples = grams_of(words, at, sizes, i)
-                out = questions(chunk, WORD, words, np.bincount(at, weights=taught, minlength=len(words)).astype(np.uint64), 0, 1, fans[0])
-                out += questions(chunk, PAIR, pairs, np.bincount(in_pairs, weights=taught[i], minlength=len(pairs)).astype(np.uint64), 0, 1, fans[0])
-                out += questions(chunk, TRIPLE, triples, np.bincount(in_triples, weights=taught[i], minlength=len(triples)).astype(np.uint64), 0, 1, fans[0])
-                yield _batch(out)
-
-    asked = tok.select("chunk", "train", "sizes", "at", "words").mapInArrow(ask, "chunk long, kind int, part long, h binary, n binary")
-    back = corpus_counts(asked, n_chunks, fans).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "n"))).alias("answers"))
-    back = common.bucketed(back, "lm_answers", buckets, "chunk")
+                out = []
+                for kind, h, _, n, shared in grams(t, r, _joined(t, r, WORD)):
+                    out += questions(t.column("chunk")[r].as_py(), kind, h[shared], n[shared], 0, 1, fans[0])
+                if out:
+                    yield _batch(out)
+
+    def answered(asked: DataFrame, tag: str) -> DataFrame:
+        back = corpus_counts(asked, n_chunks, fans).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "part", "n"))).alias("answers"))
+        return common.bucketed(back, tag, buckets, "chunk")
+
+    ask_schema = "chunk long, kind int, part long, h binary, n binary"
+    of_words = answered(tok.select("chunk", "train", "sizes", "at", "words").mapInArrow(ask_words, ask_schema), "lm_words")
     sums = np.zeros(2, dtype=np.uint64)
-    for row in back.where("chunk = -1").select(F.explode("answers.n").alias("n")).collect():  # one row a task that counted words
+    for row in of_words.where("chunk = -1").select(F.explode("answers.n").alias("n")).collect():  # one row a task that counted words
         sums += unpack(row.n, np.uint64)
     n_tokens, n_kinds = (int(x) for x in sums)
     uniform = 1.0 / (n_kinds + 1)
-    ready = tok.join(back, "chunk").select("ids", "train", "sizes", "at", "words", "answers.kind", "answers.n")
+    known = tok.join(of_words, "chunk").select("chunk", "ids", "train", "sizes", "at", "words", F.col("answers.kind").alias("kind"), F.col("answers.n").alias("n"))
+    of_grams = answered(known.mapInArrow(ask_grams, ask_schema), "lm_grams")
+    # A chunk that shares nothing has asked nothing.
+    more = of_grams.select("chunk", F.col("answers.kind").alias("kind2"), F.col("answers.n").alias("n2"))
+    ready = known.join(more, "chunk", "left")
 
     def counts(t: pa.RecordBatch, r: int) -> tuple[list, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """Ids, sizes, and of each token: whether it was learned; the counts of its trigram, the pair before it, its
         bigram, the word before it and itself."""
-        ids, train, sizes = t.column(0)[r].as_py(), np.array(t.column(1)[r].as_py()), np.array(t.column(2)[r].as_py(), dtype=np.int64)
-        at, words = unpack(t.column(3)[r].as_py(), np.uint32), unpack_sorted(t.column(4)[r].as_py())
-        kind, n = t.column(5)[r].as_py(), t.column(6)[r].as_py()
-        c1, c2, c3 = (np.concatenate([unpack(x, np.uint64) for x, k in zip(n, kind, strict=True) if k == want]).astype(np.float64) for want in (WORD, PAIR, TRIPLE))
+        c1, got = _joined(t, r, WORD), {}
+        for kind, _, place, n, shared in grams(t, r, c1):
+            answers = _joined(t, r, kind, "2")
+            if len(answers) != shared.sum():
+                raise RuntimeError("the answers to a chunk don't fit its questions")
+            n[shared] = answers
+            got[kind] = n.astype(np.float64)[place]
+        ids, train, sizes = t.column("ids")[r].as_py(), np.array(t.column("train")[r].as_py()), np.array(t.column("sizes")[r].as_py(), dtype=np.int64)
+        at, c1 = unpack(t.column("at")[r].as_py(), np.uint32), c1.astype(np.float64)
         _, i = layout(sizes)
-        pairs, in_pairs, triples, in_triples = grams_of(words, at, sizes, i)
-        if (len(c1), len(c2), len(c3)) != (len(words), len(pairs), len(triples)):
-            raise RuntimeError("the answers to a chunk don't fit its questions")
-        two, cv = c2[in_pairs], c1[at[i - 1]]
+        two, cv = got[PAIR], c1[at[i - 1]]
         cuv = np.concatenate(([0.0], two[:-1]))
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         cuv[first] = cv[first]  # nothing but starts is before a text's first word
-        return ids, sizes, np.repeat(train, sizes), (c3[in_triples], cuv, two, cv, c1[at[i]])
+        return ids, sizes, np.repeat(train, sizes), (got[TRIPLE], cuv, two, cv, c1[at[i]])
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, ns = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
