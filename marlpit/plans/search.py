@@ -48,9 +48,18 @@ def score(title: Column, original: Column, query: Column, terms: Column, year: C
 
 
 def fold_query(spark: SparkSession, query: str) -> tuple[str, list[str]]:
-    """The folded query and its terms, folded by the same expression as the index."""
-    row = spark.range(1).select(fold_text(F.lit(query)).alias("q")).select("q", tokenize(F.col("q")).alias("t")).first()
-    return row.q, list(row.t)
+    """The folded query and its terms, folded by the same expression as the index; evaluated on the driver, without a job."""
+    got = _FOLDED.get(query)
+    if got is None:
+        # A projection of a local row is evaluated by the optimizer.
+        row = spark.sql("SELECT q FROM VALUES (:q) AS t(q)", args={"q": query}).select(fold_text(F.col("q")).alias("q")).select("q", tokenize(F.col("q")).alias("t")).first()
+        if len(_FOLDED) >= 10_000:
+            _FOLDED.clear()
+        got = _FOLDED[query] = (row.q, list(row.t))
+    return got
+
+
+_FOLDED: dict[str, tuple[str, list[str]]] = {}
 
 
 def candidates(postings: DataFrame, terms: list[str], cap: int | None = None) -> DataFrame:
@@ -127,7 +136,8 @@ def to_candidates(results: DataFrame, preference: dict) -> DataFrame:
     differs = (F.coalesce(alt, F.lit("")) != "") & (fold_text(alt) != fold_text(name))
     texts = R.rating_texts(F.col("media_type"), preference, {s: F.col(c) for s, c in R.RATING_COLUMNS.items()})
     parts = F.concat(F.array(F.when(differs, alt), F.col("year").cast("string")), texts)
-    top = F.max("score").over(W.partitionBy())
+    results = results.crossJoin(F.broadcast(results.agg(F.max("score").alias("_top"))))  # one row
+    top = F.col("_top")
     return results.select(
         R.text_key(F.col("media_type"), F.col("id")).alias("id"), name.alias("title"), F.nullif(F.array_join(F.filter(parts, lambda p: p.isNotNull()), " · "), F.lit("")).alias("subtitle"), F.when(differs, F.array(alt)).otherwise(F.array().cast("array<string>")).alias("keywords"),
         "poster_url", F.when(F.col("media_type") == "tv", "TV Show").otherwise("Movie").alias("label"), F.when(top > 0, F.col("score") / top).alias("score"),
@@ -146,6 +156,7 @@ class SearchSession:
     def __init__(self, spark: SparkSession, resolve_path, refresh_s: float = 6 * 3600) -> None:
         self.spark, self.resolve_path, self.refresh_s = spark, resolve_path, refresh_s
         self.path, self.tables, self.checked = None, None, 0.0
+        self.failure: Exception | None = None
 
     def _ensure(self, now: float):
         from ..sources.sinks import open_index
@@ -156,9 +167,10 @@ class SearchSession:
                 if path != self.path:
                     self.tables, self.path = open_index(self.spark, path), path
                 self.checked = now
-            except Exception:
+            except Exception as e:  # whatever it is: the last good index serves, and the caller can see why
                 if self.tables is None:
                     raise
+                self.failure = e
         return self.tables
 
     def search(self, query: str, *, now: float, now_year: int, limit: int = 10, preference: dict | None = None) -> DataFrame:

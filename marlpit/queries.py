@@ -420,7 +420,11 @@ def entity_number(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.coalesce(R.entity_number(uri), F.lit(-1)).alias("qid"))
 
 
-@query()
+UNITS = "list_transform(string_split(lang || ':' || title, ''), lambda c: CAST(unicode(c) AS BIGINT))"
+
+
+@query(f"""WITH {ART}, u AS (SELECT doc_id, list_prepend(CAST(2166136261 AS BIGINT), flatten(list_transform({UNITS}, lambda c: CASE WHEN c < 65536 THEN [c] ELSE [55296 + ((c - 65536) >> 10), 56320 + ((c - 65536) & 1023)] END))) AS units FROM art)
+  SELECT doc_id, list_reduce(units, lambda h, c: (xor(h, c) * 16777619) & 4294967295) & 2147483647 AS id FROM u""")
 def article_id(spark, d):
     return articles(spark, d).select("doc_id", fnv31(F.concat_ws(":", "lang", "title")).alias("id"))
 
@@ -767,3 +771,6 @@ def top_by_votes(spark, d):
 def hourly_counters(spark, d):
     v = table(spark, d, "events").select(F.date_format("ts", "HH").alias("hour_file"), "event_type")
     return wiki.hourly_counters(v, v.where("event_type <> 'error'"))
+
+
+from . import file_queries  # noqa: E402, F401  registers what is written and read back

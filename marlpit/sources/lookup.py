@@ -54,3 +54,40 @@ def lookup(keys: DataFrame, fetch: Fetch, *, per_second: float = 20, partitions:
 def chunked(keys: list[str], size: int) -> list[list[str]]:
     """Keys in requests of ``size``, for services that take many at once."""
     return [keys[i : i + size] for i in range(0, len(keys), size)]
+
+
+def values_request(keys: list[str], variable: str = "page") -> str:
+    """The keys of a chunk as a VALUES clause, which pushes the semi-join to the service."""
+    quoted = " ".join("<" + k.replace("<", "%3C").replace(">", "%3E").replace(" ", "%20") + ">" for k in keys)
+    return f"VALUES ?{variable} {{ {quoted} }}"
+
+
+def lookup_chunks(keys: DataFrame, fetch: Callable[[str], tuple[int, list[dict] | None]], columns: str, *, size: int = 400, attempts: int = 5, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, partitions: int = 2) -> DataFrame:
+    """Answers to ``keys(key string)``, asked ``size`` at a time: rows of ``columns`` (a schema).
+
+    ``fetch(request) -> (status, rows)`` gets a :func:`values_request`.  A chunk that fails is asked again, ``attempts``
+    times in all, with a wait that doubles; if it fails for good the task raises, as an answer of some would be taken for all.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in columns.split(",")]
+        held: list[str] = []
+
+        def ask(chunk: list[str]) -> pd.DataFrame:
+            for n in range(attempts):
+                status, rows = fetch(values_request(chunk))
+                if status == 200:
+                    return pd.DataFrame([[r.get(c) for c in names] for r in rows or []], columns=names)
+                if n + 1 < attempts:
+                    sleep(wait * 2**n)
+            raise RuntimeError(f"no answer to a chunk: status {status}")
+
+        for f in frames:
+            held += list(f["key"])
+            while len(held) >= size:
+                yield ask(held[:size])
+                held = held[size:]
+        if held:
+            yield ask(held)
+
+    return keys.select("key").repartition(partitions).mapInPandas(run, columns)

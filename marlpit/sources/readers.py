@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window as W
 
 from .. import schema
 from ..functions import records as R
@@ -27,14 +27,26 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).where(F.length("value") > 0)
 
 
+def in_line_order(raw: DataFrame, name: str) -> DataFrame:
+    """``raw``, read from files, with a number that grows by file path, and within a file by line.  Partitions don't tell:
+    they hold splits of several files, larger ones first.  A split's lines lie in one partition, in order."""
+    at = raw.select("*", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    splits = raw.select(F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")).alias("_split")).distinct()
+    ranks = splits.select("_split", (F.row_number().over(W.orderBy("_split")) - 1).cast("long").alias("_rank"))  # a row a split
+    line = F.shiftleft(F.col("_rank"), 33) + F.col("_line").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(ranks), "_split").withColumn(name, line).drop("_split", "_line", "_rank")
+
+
 def store_log(spark: SparkSession, path: str) -> DataFrame:
     """The append-only log as records.  A distributed read loses line order, so the log carries ``_ingest_seq`` where it
     was appended by us; for foreign files it is rebuilt from the file's name and the place of its rows in the file."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema.RECORD)
     with_seq = T.StructType([*schema.STORE_LINE.fields, T.StructField("_ingest_seq", T.LongType())])
-    raw = spark.read.schema(with_seq).json(path).where("id is not null")
-    raw = raw.withColumn("_ingest_seq", F.coalesce("_ingest_seq", F.monotonically_increasing_id()))
+    raw = spark.read.schema(with_seq).json(path)
+    if not raw.where("_ingest_seq is null").isEmpty():
+        raw = in_line_order(raw, "_order").withColumn("_ingest_seq", F.coalesce("_ingest_seq", "_order"))
+    raw = raw.where("id is not null")
     return raw.select(
         F.coalesce("mediaType", F.lit("movie")).alias("media_type"), "id", "title", F.col("originalTitle").alias("original_title"), F.coalesce("year", F.lit(0)).alias("year"), F.coalesce("popularity", F.lit(0.0)).alias("popularity"),
         F.coalesce("voteCount", F.lit(0)).cast("long").alias("vote_count"), F.col("posterPath").alias("poster_path"), F.col("imdbID").alias("imdb_id"), F.col("rtScore").alias("rt_score"), F.col("metacriticScore").alias("metacritic_score"), F.col("imdbRating").alias("imdb_rating"),
@@ -77,15 +89,17 @@ def view_sample(spark: SparkSession, path: str, min_views: int = 1) -> DataFrame
 
 def entity_keys(spark: SparkSession, path: str) -> DataFrame:
     """``title, qid``: resolved keys; the last line of a title wins, null and over-long numbers go."""
-    raw = spark.read.schema("title string, qid long").json(path).withColumn("_at", F.monotonically_increasing_id())
+    raw = in_line_order(spark.read.schema("title string, qid long").json(path), "_at")
     return raw.where("qid is not null and qid < 2147483648").groupBy("title").agg(F.max_by("qid", "_at").alias("qid"))
 
 
 def document(spark: SparkSession, path: str, fallback: dict | None = None) -> dict | None:
-    """A small JSON document, or ``fallback`` if it is missing or broken."""
+    """A small JSON document, or ``fallback`` if it is missing or isn't an object.  A store that can't be read raises."""
+    if not exists(spark, path):
+        return fallback
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
     try:
-        text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
         got = json.loads(text)
-        return got if isinstance(got, dict) else fallback
-    except (AnalysisException, ValueError, Exception):  # noqa: BLE001
+    except ValueError:
         return fallback
+    return got if isinstance(got, dict) else fallback

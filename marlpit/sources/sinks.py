@@ -73,3 +73,29 @@ def push_batches(items: DataFrame, order: list, push: Callable[[int, list], None
 
     numbered.where(F.col("_batch") > done).repartition("_batch").sortWithinPartitions("_batch").foreachPartition(each)
     return 0 if last is None else last + 1
+
+
+def fingerprint_of(items: DataFrame) -> str:
+    """Tells one set of items from another: their number and the sum of their hashes."""
+    n, total = items.agg(F.count("*"), F.sum(F.xxhash64(*items.columns).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
+def resume_point(spark: SparkSession, path: str, fingerprint: str) -> int:
+    """The last batch that was pushed of the items with this fingerprint; -1 if none, or if the items are others now."""
+    from .readers import document
+
+    got = document(spark, path) or {}
+    return int(got["done"]) if got.get("fingerprint") == fingerprint else -1
+
+
+def mark_pushed(spark: SparkSession, path: str, fingerprint: str, done: int) -> None:
+    spark.createDataFrame([(json.dumps({"fingerprint": fingerprint, "done": done}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_sampled(records: DataFrame, dropped: DataFrame, sampled: dict, root: str) -> str:
+    """A new version of the sampled store with its sidecars: what went since the last one, and what was sampled."""
+    path = rewrite(records, f"{root}/store")
+    dropped.write.parquet(f"{path}-dropped")
+    records.sparkSession.createDataFrame([(json.dumps(sampled),)], "value string").coalesce(1).write.text(f"{path}-sampled")
+    return path
