@@ -155,3 +155,12 @@ def response_ratings(body: Column) -> Column:
     pattern = r'"Source"\s*:\s*"([^"]*)"\s*,\s*"Value"\s*:\s*"([^"]*)"'
     src, val = (F.regexp_extract_all(body, F.lit(pattern), F.lit(i)) for i in (1, 2))
     return F.zip_with(src, val, lambda s, v: F.struct(s.alias("source"), v.alias("value")))
+
+
+def to_base64(text: Column) -> Column:
+    """The text's UTF-8 bytes in base 64, on one line."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
+
+
+def from_base64(code: Column) -> Column:
+    return F.decode(F.unbase64(code), "UTF-8")

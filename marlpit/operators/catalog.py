@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import records as R
 from ..functions.text import fold_text, tokenize
+from ..sources import files
 
 KEY = ["media_type", "id"]
 
@@ -149,23 +151,24 @@ def index_rows(records: DataFrame, order: str = "first_position") -> DataFrame:
     return number_rows(titled, [F.col(order), F.col("stable_key")], "row")
 
 
-def number_rows(df: DataFrame, order: list, name: str, ranges: int = 64) -> DataFrame:
-    """``df`` with a gapless number from 0 in a total order, without sorting it in one task: ranges of the first sort column
-    (numeric) are counted, and rows numbered within each.  The bounds are fixed first, by one small aggregate."""
-    keyed = df.withColumn("_o", order[0]).withColumn("_p", range_of(df, order[0], ranges))
-    counts = keyed.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    within = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return keyed.withColumn("_k", within).join(F.broadcast(starts), "_p").withColumn(name, (F.col("_s") + F.col("_k")).cast("long")).drop("_o", "_p", "_k", "_s")
-
-
-def range_of(df: DataFrame, column: Column, ranges: int) -> Column:
-    """Number of the range of ``column`` that a row falls into: -1 for null, then ascending; about equal ranges of rows."""
-    got = df.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    bounds = sorted(set(got or []))
-    if not bounds:
-        return F.when(column.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    return F.when(column.isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda x: x <= column)))
+def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with a gapless number from 0 in a total order, without sorting it in one task: ranges are sorted and counted,
+    and a row's number is its place behind the ranges before."""
+    kept = in_ranges(df, order)
+    sizes = kept.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))  # a row a range
+    return kept.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_s") + F.col("_at")).cast("long")).drop("_p", "_at", "_s")
+
+
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """``df`` sorted by ranges of all of ``order``, as many as there are shuffle partitions: ``_p`` is a row's range, ``_at``
+    its place there from 0.  Written once, as the bounds are drawn anew whenever such a plan runs."""
+    spark = df.sparkSession
+    at = files.scratch(spark, "ranges")
+    n = F.monotonically_increasing_id()
+    df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range_at", n).write.parquet(at)
+    kept = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_range_at", T.LongType())])).parquet(at)
+    return kept.withColumn("_p", F.shiftright("_range_at", 33)).withColumn("_at", F.col("_range_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range_at")
 
 
 def postings(rows: DataFrame) -> DataFrame:

@@ -101,3 +101,8 @@ def build_manifest(files: DataFrame, version: int, generated_at: str) -> DataFra
 def install_is_fresh(checked_at, now_ms, max_age_ms, files_there):
     """Whether an install may be used without a check: checked before, not too long ago, all files there."""
     return (checked_at > 0) & (now_ms - checked_at <= max_age_ms) & files_there
+
+
+def last_superseded(superseded: DataFrame) -> DataFrame:
+    """``stable_key, last_seq``: up to which part of a chain each retired key is void."""
+    return superseded.groupBy("stable_key").agg(F.max("seq").alias("last_seq"))

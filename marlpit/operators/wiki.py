@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import records as R
 from ..functions.text import fnv31
-from .catalog import number_rows, range_of
+from .catalog import in_ranges, number_rows
 
 #: Namespaces whose pages count as articles.
 CONTENT_NAMESPACES = ("Anexo:", "Appendix:")
@@ -84,16 +84,16 @@ def wiki_delta(records: DataFrame, dropped: DataFrame, since: str) -> tuple[Data
     return touched, gone
 
 
-def budget_prefix(records: DataFrame, size: str, budget: int, ranges: int = 64) -> DataFrame:
+def budget_prefix(records: DataFrame, size: str, budget: int) -> DataFrame:
     """The most popular records that fit a byte budget, in popularity order (ties by id).
 
-    Running sums by popularity range: range totals first, then a window within each range, so no task orders everything.
+    Running sums by ranges of that order: range totals first, then a window within each range, so no task orders everything.
     """
-    r = records.withColumn("_p", range_of(records, F.col("popularity"), ranges))
+    r = in_ranges(records, [F.col("popularity").desc(), F.col("id")])
     totals = r.groupBy("_p").agg(F.sum(size).alias("_t"))
-    before = totals.select("_p", F.coalesce(F.sum("_t").over(W.orderBy(F.col("_p").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    run = F.sum(size).over(W.partitionBy("_p").orderBy(F.col("popularity").desc(), "id").rowsBetween(W.unboundedPreceding, 0))
-    return r.withColumn("_run", run).join(F.broadcast(before), "_p").withColumn("running_bytes", F.col("_b") + F.col("_run")).where(F.col("running_bytes") <= budget).drop("_p", "_run", "_b")
+    before = totals.select("_p", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
+    run = F.sum(size).over(W.partitionBy("_p").orderBy("_at").rowsBetween(W.unboundedPreceding, 0))
+    return r.withColumn("_run", run).join(F.broadcast(before), "_p").withColumn("running_bytes", F.col("_b") + F.col("_run")).where(F.col("running_bytes") <= budget).drop("_p", "_at", "_run", "_b")
 
 
 def fit_budget(records: DataFrame, measure, budget: int, start: int = 150_000, tolerance: float = 0.03, tries: int = 5) -> int:
@@ -123,6 +123,30 @@ def entity_stats(groups: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("groups"), F.count_if(F.col("names") == 1).alias("same_title"), F.count_if(F.col("names") > 1).alias("other_title"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
 
 
+def coverage(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """``lang, coverage``: the share of each band's rows that have an entity."""
+    g = groups.select("lang", "stable_key").distinct().withColumn("_has", F.lit(1.0))
+    return bands.join(g, ["lang", "stable_key"], "left").groupBy("lang").agg(F.avg(F.coalesce("_has", F.lit(0.0))).alias("coverage"))
+
+
+def outcomes(events: DataFrame) -> DataFrame:
+    """``kind, outcome, n``."""
+    return events.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
+def latencies(samples: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Number, percentiles and maximum of ``value``: the element at ``floor(share * n)`` of the sorted values of a group.
+
+    Equal values are counted first, so that a group is as many rows as it has different values.
+    """
+    counts = samples.groupBy(by, value).agg(F.count("*").alias("_c"))
+    n = counts.groupBy(by).agg(F.sum("_c").alias("n"), F.max(value).alias("top"))
+    upto = F.sum("_c").over(W.partitionBy(by).orderBy(value))
+    at = counts.withColumn("_upto", upto).join(F.broadcast(n), by)
+    pick = lambda p: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * F.col("n")), F.col(value)))
+    return at.groupBy(by).agg(F.first("n").alias("n"), *[pick(p).alias(c) for c, p in shares.items()], F.first("top").alias("top"))
+
+
 def pending_keys(titles: DataFrame, asked: DataFrame, chunk: int = 1000, limit: int = 0) -> DataFrame:
     """Titles not asked for yet, most read first, with the chunk each is asked in."""
     p = titles.join(asked.select("lang", "title"), ["lang", "title"], "left_anti").orderBy(F.col("views").desc(), "lang", "title")

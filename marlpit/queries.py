@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .functions import links
 from .functions import records as R
@@ -14,6 +13,7 @@ from .functions.text import all_terms_match, fnv31, fold_text, is_subsequence, s
 from .operators import catalog, versions, wiki
 from .plans import merge as merging
 from .plans import search as searching
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,14 +87,21 @@ DAILY = "daily AS (SELECT event_type AS lang, CAST(user_id AS VARCHAR) AS title,
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    """``documents`` as encyclopedia rows: the title is the first folded words, votes the length."""
-    words = tokenize(fold_text(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", "lang", F.array_join(F.slice(words, 1, 2), " ").alias("title"), F.col("n_chars").alias("vote_count"), "text")
+    """``documents`` as encyclopedia rows: the title is the folded first line, votes the length."""
+    title = fold_text(F.split("text", "\n")[0])
+    return table(spark, d, "documents").select("doc_id", "lang", title.alias("title"), F.col("n_chars").alias("vote_count"), "text")
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once, for plans that read it several times."""
+    at = files.scratch(df.sparkSession, tag)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 #: The fold in SQL.
 FOLD = "trim(regexp_replace(lower(strip_accents({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-ART = f"art AS (SELECT doc_id, lang, array_to_string(list_slice(string_split({FOLD.format('text')}, ' '), 1, 2), ' ') AS title, n_chars AS vote_count FROM documents)"
+ART = f"art AS (SELECT doc_id, lang, {FOLD.format('string_split(text, chr(10))[1]')} AS title, n_chars AS vote_count FROM documents)"
 
 
 # --- store ---
@@ -195,7 +202,7 @@ def snapshot_fold(spark, d):
 
 @query(f"WITH {CHAIN} SELECT stable_key, max(seq) AS last_seq FROM gone GROUP BY 1")
 def superseded_last(spark, d):
-    return chain(spark, d)[1].groupBy("stable_key").agg(F.max("seq").alias("last_seq"))
+    return versions.last_superseded(chain(spark, d)[1])
 
 
 # --- folding and the inverted index ---
@@ -545,14 +552,15 @@ def daily_tumbling(spark, d):
 
 
 def bands(spark: SparkSession, d: str) -> DataFrame:
-    return articles(spark, d).groupBy("lang", "title").agg(F.min("doc_id").alias("doc_id"), F.max("vote_count").alias("vote_count")).withColumn("stable_key", F.col("doc_id") * 2)
+    rows = articles(spark, d).groupBy("lang", "title").agg(F.min("doc_id").alias("doc_id"), F.max("vote_count").alias("vote_count"))
+    return kept(rows.withColumn("stable_key", F.col("doc_id") * 2), "bands")
 
 
 BANDS = f"{ART}, bands AS (SELECT lang, title, min(doc_id) AS doc_id, max(vote_count) AS vote_count, min(doc_id) * 2 AS stable_key FROM art GROUP BY 1, 2)"
 
 
-def bindings(spark: SparkSession, d: str) -> DataFrame:
-    return bands(spark, d).select((F.col("doc_id") % 60).alias("item"), "lang", "title", F.col("doc_id").alias("position"))
+def bindings(band: DataFrame) -> DataFrame:
+    return band.select((F.col("doc_id") % 60).alias("item"), "lang", "title", F.col("doc_id").alias("position"))
 
 
 GROUPS = f"""{BANDS}, bind AS (SELECT doc_id % 60 AS item, lang, title, doc_id AS position FROM bands),
@@ -563,23 +571,25 @@ GROUPS = f"""{BANDS}, bind AS (SELECT doc_id % 60 AS item, lang, title, doc_id A
 
 @query(f"WITH {GROUPS} SELECT group_id, item, lang, stable_key, title FROM grp")
 def entity_groups(spark, d):
-    return wiki.entity_groups(bindings(spark, d), bands(spark, d))
+    band = bands(spark, d)
+    return wiki.entity_groups(bindings(band), band)
 
 
 @query(f'WITH {GROUPS}, per AS (SELECT group_id, count(DISTINCT lower(title)) AS names, count(*) AS n FROM grp GROUP BY 1) SELECT count(*) AS "groups", count(*) FILTER (WHERE names = 1) AS same_title, count(*) FILTER (WHERE names > 1) AS other_title, CAST(sum(n) AS BIGINT) AS "rows" FROM per')
 def entity_stats(spark, d):
-    return wiki.entity_stats(wiki.entity_groups(bindings(spark, d), bands(spark, d)))
+    band = bands(spark, d)
+    return wiki.entity_stats(wiki.entity_groups(bindings(band), band))
 
 
 @query(f"WITH {GROUPS} SELECT lang, round(avg(CASE WHEN g.stable_key IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM bands LEFT JOIN (SELECT DISTINCT lang, stable_key FROM grp) g USING (lang, stable_key) GROUP BY 1")
 def coverage(spark, d):
-    g = wiki.entity_groups(bindings(spark, d), bands(spark, d)).select("lang", "stable_key").distinct().withColumn("has", F.lit(1.0))
-    return bands(spark, d).join(g, ["lang", "stable_key"], "left").groupBy("lang").agg(F.round(F.avg(F.coalesce("has", F.lit(0.0))), 6).alias("coverage"))
+    band = bands(spark, d)
+    return wiki.coverage(band, wiki.entity_groups(bindings(band), band)).withColumn("coverage", F.round("coverage", 6))
 
 
 def merge_input(spark: SparkSession, d: str) -> DataFrame:
     """Twenty queries of result rows: some titles occur in several rows, some rows have an entity."""
-    a = articles(spark, d).select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("pos"), "lang", (F.col("doc_id") * 2).alias("stable_key"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper(F.left("title", F.lit(2))), F.lit(""))).otherwise(F.left("title", F.lit(2))).alias("title"), "vote_count")
+    a = articles(spark, d).select((F.col("doc_id") % 20).alias("qid"), F.col("doc_id").alias("pos"), "lang", (F.col("doc_id") * 2).alias("stable_key"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper(F.left("title", F.lit(1))), F.substring("title", 2, 1 << 30))).otherwise(F.col("title")).alias("title"), "vote_count")
     return a.withColumn("score", (F.col("pos") % 7).cast("double"))
 
 
@@ -587,7 +597,7 @@ def merge_map(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("doc_id % 3 = 0").select("lang", (F.col("doc_id") * 2).alias("stable_key"), (F.col("doc_id") % 9).alias("group_id"))
 
 
-MERGE = f"""{ART}, inp AS (SELECT doc_id % 20 AS qid, doc_id AS pos, lang, doc_id * 2 AS stable_key, CASE WHEN doc_id % 2 = 0 THEN upper(left(title, 2)) ELSE left(title, 2) END AS title, vote_count, CAST(doc_id % 7 AS DOUBLE) AS score FROM art),
+MERGE = f"""{ART}, inp AS (SELECT doc_id % 20 AS qid, doc_id AS pos, lang, doc_id * 2 AS stable_key, CASE WHEN doc_id % 2 = 0 THEN upper(left(title, 1)) || substring(title, 2) ELSE title END AS title, vote_count, CAST(doc_id % 7 AS DOUBLE) AS score FROM art),
   mapped AS (SELECT *, CASE WHEN pos % 3 = 0 THEN pos % 9 END AS e FROM inp),
   keyed AS (SELECT *, coalesce('entity:' || coalesce(e, last_value(e IGNORE NULLS) OVER (PARTITION BY qid, lower(title) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 'title:' || lower(title)) AS group_key FROM mapped),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, group_key, lang ORDER BY score DESC, vote_count DESC, (upper(left(title, 1)) = left(title, 1)) DESC, pos) AS n FROM keyed) WHERE n = 1)"""
@@ -693,17 +703,13 @@ def push_batches(spark, d):
 
 @query("SELECT event_type, count(*) AS n, list_sort(list(value))[CAST(floor(0.5 * count(*)) AS INTEGER) + 1] AS p50, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS INTEGER) + 1] AS p95, list_sort(list(value))[CAST(floor(0.99 * count(*)) AS INTEGER) + 1] AS p99, max(value) AS top FROM events GROUP BY 1")
 def latency_pctl(spark, d):
-    """The element at ``floor(k * n)`` of the sorted values, by rank within a group rather than by collecting it."""
-    e = table(spark, d, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    at = e.withColumn("k", F.row_number().over(W.partitionBy("event_type").orderBy("value")) - 1).join(F.broadcast(n), "event_type")
-    pick = lambda p: F.max(F.when(F.col("k") == F.floor(F.lit(p) * F.col("n")), F.col("value")))
-    return at.groupBy("event_type").agg(F.first("n").alias("n"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.first("top").alias("top"))
+    return wiki.latencies(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("SELECT event_type AS kind, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 def outcome_counters(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind"), F.when(F.col("value") >= 50, "high").otherwise("low").alias("outcome")).agg(F.count("*").alias("n"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.when(F.col("value") >= 50, "high").otherwise("low").alias("outcome"))
+    return wiki.outcomes(e)
 
 
 # --- projections and predicates at the edges ---
@@ -739,8 +745,8 @@ def date_stamps(spark, d):
 
 @query("SELECT doc_id, sha256(to_base64(encode(text))) AS b64, text = decode(from_base64(to_base64(encode(text)))) AS same FROM documents")
 def text_codecs(spark, d):
-    raw = F.encode("text", "UTF-8")
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.regexp_replace(F.base64(raw), r"\s", ""), 256).alias("b64"), (F.decode(F.unbase64(F.base64(raw)), "UTF-8") == F.col("text")).alias("same"))
+    b64 = R.to_base64(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(b64, 256).alias("b64"), (R.from_base64(b64) == F.col("text")).alias("same"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 > 0 AND 500000 - (o_orderkey % 1000) * 1000 <= 300000 AND o_orderkey % 3 > 0 AS fresh FROM orders")

@@ -35,17 +35,18 @@ def test_strength(spark, v, want):
 
 
 def test_decay(spark):
-    for start in (0.0, 1000.0):
-        x = start
-        for _ in range(200):
-            w = 1 - 0.5 ** (1 / 14)
-            x = 40.0 if x <= 0 else w * 40 + (1 - w) * x
-        assert abs(x - 40) < 0.1
-    assert one(spark, R.decay(F.lit(0.0), F.lit(7.0), F.lit(1))) == 7
-    step = 5.0
-    for _ in range(4):
-        step = one(spark, R.decay(F.lit(step), F.lit(100.0), F.lit(1)))
-    assert abs(step - one(spark, R.decay(F.lit(5.0), F.lit(100.0), F.lit(4)))) < 1e-9
+    """A day's weight halves what is left of the past every fourteen days, whatever the steps."""
+    decay = lambda x, v, gap: one(spark, R.decay(F.lit(float(x)), F.lit(float(v)), F.lit(gap)))
+    assert decay(0, 12, 3) == 12  # nothing before: the day's views
+    assert abs(decay(80, 0, 14) - 40) < 1e-9 and abs(decay(80, 0, 28) - 20) < 1e-9
+    assert abs(decay(10, 250, 14) - 130) < 1e-9
+    x = y = 63.0
+    for gap in (2, 5, 1):
+        x = decay(x, 9, gap)
+    y = decay(y, 9, 8)
+    assert abs(x - y) < 1e-9  # the same views over three gaps or one of their length
+    rising = [spark.range(1).select(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(500.0), lambda a, _: R.decay(a, F.lit(6.0), F.lit(1))).alias("x")).first().x for n in (1, 30, 300)]
+    assert rising[0] > rising[1] > rising[2] > 6 and rising[2] - 6 < 0.001
 
 
 @pytest.mark.parametrize("a,b,want", [("2026-09-24", "2026-09-25", 1), ("2026-09-20", "2026-09-25", 5), ("2026-09-25", "2026-09-24", 1), ("", "2026-09-24", 1), (None, "2026-09-24", 1)])
