@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays; texts that share an id are judged each."""
     return simhash.keep_one(docs)
 
 
@@ -28,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents appear as often as the mix of sources takes them whole."""
+    """Documents appear as often as the mix of sources takes them whole, shard by shard, each shuffled."""
     return mixing.mixed_documents(docs)
 
 
@@ -45,7 +45,8 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Fingerprints, the toxicity model and the mix aren't expressible in SQL; tests/llm holds brute-force versions.
+#: Fingerprints, the toxicity model and the mix aren't expressible in SQL; tests/llm holds the stages against their operators,
+#: and these against brute-force versions, but for the fitted toxicity model, which is tested by held-out accuracy.
 ORACLE_SQL = None
 
 
