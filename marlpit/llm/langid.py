@@ -108,7 +108,8 @@ def identify(docs: DataFrame, *, learn: DataFrame | None = None, per_lang: int =
 
     Null texts and texts without a letter (Unicode L) get ``und`` and score 0, and aren't learned from; nor are rows
     with null lang.  The classifier is fitted on about ``per_lang`` documents a language, a documented bound; scoring
-    covers whole texts of any length.  With nothing to learn from, every row is ``und``.  Repeated rows keep a row each.
+    covers whole texts of any length.  With nothing to learn from, every row is ``und``.  Repeated rows keep a row each; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     learn = docs if learn is None else learn
     rows = training_sample(learn.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "lang", "text"), per_lang)
@@ -126,6 +127,7 @@ def identify(docs: DataFrame, *, learn: DataFrame | None = None, per_lang: int =
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; a null doc_id is neither learned from nor held out; nulls and repeats as in :func:`identify`."""
     docs = common.table(spark, sf_dir, "documents")
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     return identify(docs, learn=docs.where(rest != 2)).select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

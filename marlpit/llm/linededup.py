@@ -132,7 +132,7 @@ def find_repeats(docs: DataFrame, *, least_words: int = 8, rare: int = 50) -> Da
     the smallest id (if they have a word at all).  A null text has no lines, a null doc_id counts as first of all and is
     left alone, rows that agree in id and text get the same result, and of rows that share an id with different texts only
     one (the smallest text hash) is aligned.  ``rare`` only decides which lines also pair
-    neighbours.  An empty table gives no rows.
+    neighbours.  An empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = common.materialise(lines(docs), "line-rows")
@@ -181,7 +181,8 @@ def find_repeats(docs: DataFrame, *, least_words: int = 8, rare: int = 50) -> Da
 
 
 def strip_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with repeated blocks cut from ``text``; rows keep their other columns, a row left without lines gets ``''``."""
+    """``docs`` with repeated blocks cut from ``text``; rows keep their other columns, whatever their names, a row left without
+    lines gets ``''``.  Nulls, repeats and an empty table as in :func:`find_repeats`."""
     found = find_repeats(docs, **settings).where("n_removed > 0").select(F.col("doc_id").alias("__linededup_id"), F.col("th").alias("__linededup_th"), F.col("removed").alias("__linededup_cut")).dropDuplicates(["__linededup_id", "__linededup_th"])
     j = docs.join(found, (docs["doc_id"].cast("long") == F.col("__linededup_id")) & (F.xxhash64(docs["text"]) == F.col("__linededup_th")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__linededup_cut", i)), "\n")
@@ -189,5 +190,6 @@ def strip_repeats(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; nulls, repeats, long texts and an empty table as in :func:`find_repeats`."""
     found = find_repeats(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"), "sources")

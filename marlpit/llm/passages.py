@@ -332,7 +332,8 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
     of at least ``least_words`` words on both sides that is within ``1 - identity`` edits a word of a stretch of a
     document with a smaller id.  ``rare`` only decides how a seed's holders are put in
     order and which rows give way to others of the same words.  Null and blank texts give no rows, a null doc_id takes no part, rows that agree in id
-    and text count once, of rows that share an id with different texts one (the smallest text hash) takes part.  An empty table gives no rows.
+    and text count once, of rows that share an id with different texts one (the smallest text hash) takes part.  An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     raw = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.encode("text", "UTF-8").alias("text"))
@@ -465,4 +466,5 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``; nulls, repeats, long texts and an empty table as in :func:`repeated_passages`."""
     return repeated_passages(common.table(spark, sf_dir, "documents"))

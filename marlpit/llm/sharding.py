@@ -173,4 +173,5 @@ def sharded_documents(docs: DataFrame, shards: int = 40, **settings) -> DataFram
 
 
 def op6_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards under the law ``bytes``; nulls, repeats and an empty table as in :func:`shard`."""
     return shard(common.table(spark, sf_dir, "documents"))

@@ -183,3 +183,9 @@ def test_cells_stay_even(spark):
     got = sharding.shard(df, 8, groups_per_cell=500).toPandas()
     for sums in (got.groupby("shard")["size"].sum(), got.groupby("shard")["tokens"].sum(), got.groupby("shard").size()):
         assert sums.max() / sums.mean() < 1.02
+
+
+def test_shard_contents_of_nothing(spark):
+    assert mixing.shard_contents(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert mixing.shard_contents(spark.createDataFrame([(1, None, "a"), (2, " ", None)], SCHEMA)).count() == 0
+    assert mixing.mixed_documents(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -593,3 +593,49 @@ def test_long_disguises():
     """Letters joined by signs, and letters drawn out, are seen in tokens of any length."""
     seen = list(toxicity.disguised("x " + "-".join("nastyword" * 9) + " b" + "a" * 90 + "d"))
     assert len(seen) > 1 and any("n-a-s-t-y-w-o-r-d" in s for s in seen) and "baaad" in seen
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """What aligning every pair of documents would cut, and nothing else; one text is very long."""
+    r = random.Random(50)
+    pool = [prose(r.randint(3, 14), r) for _ in range(60)]
+    docs = []
+    for k in range(120):
+        ls = [prose(r.randint(2, 10), r) for _ in range(r.randint(2, 8))]
+        for _ in range(r.randint(0, 2)):
+            at, n = r.randrange(len(pool) - 3), r.randint(1, 3)
+            i = r.randrange(len(ls) + 1)
+            ls[i:i] = pool[at : at + n]
+        docs.append((k, ls))
+    docs.append((200, [prose(5, r) for _ in range(30_000)] + pool[3:6] + [prose(5, r)]))
+    code = {}
+    coded = {k: ([code.setdefault(x, len(code)) for x in ls], [len(x.split()) for x in ls]) for k, ls in docs}
+    want = set()
+    for k, (b, w) in coded.items():
+        for j, (a, _) in coded.items():
+            if j < k:
+                want |= {(k, i) for i in linededup.repeated(a, b, w, 8)}
+    df = spark.createDataFrame([(k, "\n".join(ls)) for k, ls in docs], DOCS).withColumn("lines", F.lit("clash")).withColumn("df", F.lit(1))
+    got = {(x.doc_id, i) for x in linededup.find_repeats(df).collect() for i in x.removed}
+    assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 100
+
+
+def test_passage_in_very_long_texts(spark):
+    """Texts of a hundred thousand words with one passage in common, and columns with names of the operator's own."""
+    r = random.Random(51)
+    p = prose(80, r)
+    docs = [(1, prose(60_000, r) + " " + p + " " + prose(40_000, r)), (2, prose(90_000, r) + " " + p + " " + prose(10_000, r)), (3, "x " + p)]
+    df = spark.createDataFrame(docs, DOCS).withColumn("g", F.lit("clash")).withColumn("a", F.lit(1)).withColumn("th", F.lit(None).cast("long"))
+    got = passages.repeated_passages(df).collect()
+    assert {(2, 1), (3, 1)} <= {(x.doc_id, x.of_doc_id) for x in got if x.end - x.start >= 80 and x.edits == 0}
+
+
+def test_toxicity_of_repeats(spark):
+    """Equal rows have equal scores, whatever their ids; an empty table has none."""
+    train = spark.createDataFrame([(k, "you are a nastyword" if k % 4 == 0 else f"a quiet day number {k} by the sea", int(k % 4 == 0)) for k in range(200)], "doc_id long, text string, toxic int")
+    model = toxicity.train(train)
+    rows = [(1, "you nastyword"), (1, "you nastyword"), (None, "you nastyword"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("clash"))
+    got = toxicity.score(df, model).collect()
+    assert len(got) == 5 and len({x.score for x in got if x.doc_id not in (2, 3)}) == 1 and len({x.score for x in got if x.doc_id in (2, 3)}) == 1
+    assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.reject(df.limit(0), model).count() == 0
