@@ -24,13 +24,29 @@ def _accents() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
+#: Letters that Hangul syllables are made of, in the order of the syllables' code points from U+AC00.
+_LEAD, _VOWEL, _TAIL = ("".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+
+
+def _jamo(text: Column) -> Column:
+    """Hangul syllables taken apart; other text as it is, and only looked at once."""
+
+    def apart(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        letter = lambda letters, k: F.substring(F.lit(letters), k.cast("int"), 1)
+        tail = n % 28
+        parts = F.concat(letter(_LEAD, n / 588 + 1), letter(_VOWEL, n % 588 / 28 + 1), F.when(tail > 0, letter(_TAIL, tail)).otherwise(F.lit("")))
+        return F.when(n.between(0, 11171), parts).otherwise(c)
+
+    return F.when(F.regexp_like(text, F.lit("[\\uAC00-\\uD7A3]")), F.array_join(F.transform(F.split(text, ""), apart), "")).otherwise(text)
+
+
 def fold_text(text: Column) -> Column:
     """Accents off, lower case, everything but letters and digits to single spaces, trimmed; null folds to ''.
 
-    Marks go before lower-casing.  Precomposed letters are mapped by ``translate``; Hangul syllables stay whole (use
-    :func:`fold_text_exact` where they must decompose).
+    Marks go before lower-casing.  Precomposed letters are mapped by ``translate``, Hangul syllables by their arithmetic.
     """
-    bare = F.regexp_replace(F.translate(text, *_accents()), r"\p{M}+", "")
+    bare = F.regexp_replace(F.translate(_jamo(text), *_accents()), r"\p{M}+", "")
     return F.coalesce(F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " ")), F.lit(""))
 
 

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def test_fold(spark, fold):
     assert [r.f for r in got] == [r.b for r in got]
 
 
+def test_hangul(spark):
+    """Syllables are taken apart as canonical decomposition does, so that a beginning of one is a beginning of the word."""
+    words = ["한글", "기생충 (2019)", "값 Film É", "가", "힣", "x"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", X.fold_text(F.col("w")).alias("f"), X.fold_text_exact(F.col("w")).alias("e")).collect()
+    assert all(r.f == r.e for r in rows) and {r.w: r.f for r in rows}["한글"].startswith(unicodedata.normalize("NFD", "하"))
+
+
 def test_tokens(spark):
     r = spark.range(1).select(X.tokenize(X.fold_text(F.lit("Where's Wanda"))).alias("t"), X.tokenize(F.lit("")).alias("e")).first()
     assert (r.t, r.e) == (["where", "s", "wanda"], [])
