@@ -123,3 +123,69 @@ def test_links(spark):
     merged = spark.createDataFrame([(1, "en", 4, "T", "English", ["open:en"])], "qid int, lang string, stable_key long, title string, subtitle string, actions array<string>")
     got = {r.qid: r for r in L.with_fallback(merged, spark.createDataFrame([(1, "t"), (2, "zz")], "qid int, query string"), {"en": "English", "de": "German"}).collect()}
     assert got[1].id == "page:en:4" and got[2].id == "search:zz" and got[2].actions == ["search:en", "search:de"]
+
+
+def test_log_of_several_files(spark, tmp_path):
+    """The last line of the last file by name wins, whatever the sizes of the files."""
+    import json
+
+    from marlpit.sources import readers
+
+    small = [{"id": 1, "title": "old"}, {"id": 2, "title": "only here"}]
+    large = [{"id": k, "title": f"filler {k} " * 40} for k in range(100, 3000)] + [{"id": 1, "title": "newer"}, {"id": 1, "title": "newest"}]
+    for name, lines in (("a.ndjson", small), ("b.ndjson", large), ("c.ndjson", [{"id": 7, "title": "last"}])):
+        (tmp_path / name).write_text("\n".join(map(json.dumps, lines)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        log = readers.store_log(spark, f"{tmp_path}/*.ndjson")
+        got = {r.id: r.title for r in C.latest(log).where("id < 10").collect()}
+        order = [r.title for r in log.where("id < 10").orderBy("_ingest_seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {1: "newest", 2: "only here", 7: "last"} and order == ["old", "only here", "newer", "newest", "last"]
+    with pytest.raises(ValueError):
+        readers.id_export(spark, _empty(tmp_path), None)
+
+
+def _empty(tmp_path):
+    (tmp_path / "empty.json").write_text("")
+    return f"{tmp_path}/empty.json"
+
+
+def test_places(spark, tmp_path):
+    from marlpit.sources.files import Places
+
+    (tmp_path / "f").write_bytes(bytes(range(250)) * 100)
+    f = Places(spark, f"{tmp_path}/f", gap=100)
+    want = [(20_000, 5), (0, 3), (50, 10), (140, 2), (9_000, 0), (2, 300)]
+    assert f.spans(want) == [(bytes(range(250)) * 100)[a : a + n] for a, n in want] and f.reads == 3
+    with pytest.raises(ValueError):
+        f.read(24_990, 11)
+    f.close()
+
+
+def test_install_refuses(spark, tmp_path):
+    """A missing base and a wrong hash raise and leave no part; a missing delta is skipped."""
+    from marlpit.operators import versions
+    from marlpit.sources import files
+
+    rows = [("own-0", "base", 0, b"base"), ("own-1", "delta", 1, b"delta")]
+    m = versions.build_manifest(spark.createDataFrame(rows, "name string, role string, position int, content binary"), 1, "now")
+    source, target = f"{tmp_path}/s", f"{tmp_path}/t"
+    with pytest.raises(FileNotFoundError):
+        B.install(spark, m, source, target, "own-", 1)
+    files.write_bytes(spark, f"{source}/own-0", b"changed")
+    with pytest.raises(ValueError):
+        B.install(spark, m, source, target, "own-", 1)
+    assert files.names(spark, target) == []
+    files.write_bytes(spark, f"{source}/own-0", b"base")
+    assert set(B.install(spark, m, source, target, "own-", 1)) == {"own-0"}
+    assert files.names(spark, target) == ["installed.json", "own-0"]
+
+
+def test_chunks_are_asked_again(spark):
+    keys = spark.createDataFrame([(f"http://x.example/{k}",) for k in range(7)], "key string")
+    waits = []
+    with pytest.raises(Exception, match="no answer"):
+        K.lookup_chunks(keys, lambda request: (503, None), "page string", size=3, attempts=2, wait=0.0).collect()
+    assert K.values_request(["a b", "c"], "p") == "VALUES ?p { <a%20b> <c> }" and not waits
