@@ -27,9 +27,9 @@ from . import common
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def short_words(h: np.ndarray) -> bytes:
-    """The upper 24 bits of word hashes: enough to tell the words of two stretches apart."""
-    return np.ascontiguousarray((h >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def short_words(h: np.ndarray) -> np.ndarray:
+    """The upper 24 bits of word hashes, a row of bytes each: enough to tell the words of two stretches apart."""
+    return np.ascontiguousarray((h >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
 
 
 def from_short(b: bytes) -> np.ndarray:
@@ -417,14 +417,15 @@ def repeated_passages(docs: DataFrame, *, k: int = 6, window: int = 8, least_wor
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
+            asks = t.column(1)
+            ids, side, lo, hi = (asks.values.field(c).to_numpy() for c in ("id", "side", "lo", "hi"))
+            ends = asks.offsets.to_numpy()
+            from_, to = np.maximum(0, lo - slack).astype(np.int32), hi + k + slack
             for i in range(t.num_rows):
-                h = common.word_hashes(t.column(0)[i].as_py())
-                asks = t.column(1)[i].as_py()
-                lo = [max(0, q["lo"] - slack) for q in asks]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q["id"] for q in asks], type=pa.int64()), pa.array([q["side"] for q in asks], type=pa.int32()), pa.array(lo, type=pa.int32()), pa.array([short_words(h[a : q["hi"] + k + slack]) for a, q in zip(lo, asks, strict=True)], type=pa.binary())],
-                    names=["id", "side", "at", "words"],
-                )
+                at = slice(ends[i], ends[i + 1])
+                short = short_words(common.word_hashes(t.column(0)[i].as_py()))
+                words = [short[a:b].tobytes() for a, b in zip(from_[at].tolist(), to[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(side[at]), pa.array(from_[at]), pa.array(words, type=pa.binary())], names=["id", "side", "at", "words"])
 
     piece = raw.join(ask, "doc_id").select("text", "asks").mapInArrow(cut_out, "id long, side int, at int, words binary")
     both = piece.groupBy("id").pivot("side", [0, 1]).agg(F.min(F.struct("at", "words")))
