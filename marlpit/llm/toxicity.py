@@ -11,6 +11,7 @@ bounded sample of them weighs its entries.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -82,11 +83,12 @@ def restore(token: str, lm: CharModel) -> str:
     """The likeliest letters behind ``token`` (lower case); its own letters where nothing is disguised.
 
     Exact: of all ways to the same last two letters only the cheapest can be part of the best, as costs to come depend on
-    those alone.  Ties go to the smaller word.
+    those alone.  Ties go to the smaller word.  Letters that all ways left agree on are set aside, so that time grows with
+    the length of a token, however long.
     """
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}  # last two letters -> cost and letters so far
-    last = ""
-    for ch in token:
+    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}  # last two letters -> cost and letters since those set aside
+    last, sure = "", []
+    for at, ch in enumerate(token, 1):
         new: dict[str, tuple[float, str]] = {}
         letters = [(ch, 0.0)] if ch.isalpha() else []
         letters += [(c, 0.4) for c in LEET.get(ch, "")]
@@ -104,7 +106,10 @@ def restore(token: str, lm: CharModel) -> str:
             if skip < math.inf and (two not in new or (cost + skip, out) < new[two]):
                 new[two] = (cost + skip, out)
         best, last = new, ch
-    return min((cost + lm.cost(two, "$"), out) for two, (cost, out) in best.items())[1]
+        if at % 64 == 0:
+            sure.append(os.path.commonprefix([out for _, out in best.values()]))
+            best = {two: (cost, out[len(sure[-1]) :]) for two, (cost, out) in best.items()}
+    return "".join(sure) + min((cost + lm.cost(two, "$"), out) for two, (cost, out) in best.items())[1]
 
 
 def cut_at(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
@@ -124,33 +129,26 @@ def bare(raw: set[str]) -> set[str]:
     return {w if w.isalpha() else w.strip(EDGE) for w in raw}
 
 
-def windows(s: str) -> Iterator[str]:
-    """What runs on without a limit in overlapping parts that cover all of it."""
-    for at in range(0, max(1, len(s) - 40), 40):
-        yield s[at : at + 80]
-
-
 def disguised(text: str, raw: set[str] | None = None) -> Iterator[str]:
-    """Tokens of a lower-cased text that may hide a word: inner digits or signs, tripled letters, letters spaced out."""
+    """Tokens of a lower-cased text that may hide a word: inner digits or signs, tripled letters, letters spaced out.
+
+    Whole and of any length; in long ones runs of more than three of a letter are written as three.
+    """
     raw = set(text.split()) if raw is None else raw
     for w in raw:
         if not w.isalpha() and len(w) > 2:
             core = w.strip("\"'.,:;?&%()[]{}")
-            if len(core) > 40:  # of long tokens those that are letters joined by signs, and any whose runs make them long
-                core = _RUN.sub(r"\1\1\1", core)
-                if len(core) > 40 and 3 * sum(c in FILLER for c in core) < len(core):
-                    continue
+            core = core if len(core) <= 40 else _RUN.sub(r"\1\1\1", core)
             if len(core) >= 3 and not core.strip(EDGE).isalpha() and any(map(str.isalpha, core)):
-                yield from windows(core)
+                yield core
     if _TRIPLE.search(text):
         for w in raw:
             if _TRIPLE.search(w):
                 w = w if len(w) <= 60 else _RUN.sub(r"\1\1\1", w)
-                if len(w) <= 60:
-                    yield w.strip(EDGE)
+                yield w.strip(EDGE)
     if sum(len(w) == 1 for w in raw) > 1:
         for m in _SPACED.finditer(text):
-            yield from windows(m[0])
+            yield m[0]
 
 
 @dataclass
@@ -177,7 +175,8 @@ class Model:
             got = tuple(sorted(hits))
             if len(self.memo) >= 50_000:
                 self.memo.clear()
-            self.memo[token] = got
+            if len(token) <= 80:
+                self.memo[token] = got
         return got
 
     def features(self, words: set[str]) -> set[str]:

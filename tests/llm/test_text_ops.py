@@ -595,6 +595,23 @@ def test_long_disguises():
     assert len(seen) > 1 and any("n-a-s-t-y-w-o-r-d" in s for s in seen) and "baaad" in seen
 
 
+def test_hidden_words_in_tokens_of_any_length():
+    """What a token hides is restored whatever its length: with few signs in it, with drawn-out letters, with letters far apart."""
+    r = random.Random(52)
+    lm_ = toxicity.CharModel.learn([(word(r), 1.0) for _ in range(200)] + [("nastyword", 50.0)])
+    m = toxicity.Model({"nastyword": 3.0, "nasty-": 2.0}, -3.0, lm_)
+
+    def junk(n):
+        return "".join(r.choice("bcdfghjk7") for _ in range(n))
+
+    assert "nastyword" in m.values(f"so {junk(50)}-n4styw0rd-{junk(50)} it is")
+    assert "nastyword" in m.values(f"{junk(100_000)}/n4styw0rd")
+    assert "nasty-" in m.values("nnnastyword" + "bcdfghjk" * 8)
+    assert "nasty-" in m.values("n4styw0rd" + junk(60))
+    assert "nastyword" in m.values("b-" * 18 + "-----".join("nastyword") + "-b" * 20)
+    assert m.values(f"{junk(50)}-{junk(50)} {junk(200)} {'bcdfghjkkk' * 8}") == {}
+
+
 def test_line_dedup_against_all_pairs(spark):
     """What aligning every pair of documents would cut, and nothing else; one text is very long."""
     r = random.Random(50)
